@@ -1 +1,198 @@
-"""To come."""
+"""Learner and end-to-end ranking queries."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.labels import target
+from ..operators import embed as E
+from ..operators import folds as D
+from ..operators import learners as M
+from ..operators import lexical as G
+from ..operators.reduce import TruncatedSvd
+from ..plans import features as P
+from ..plans import training as T
+from ..session import scratch_path, settle
+from ..settings import LexicalSettings
+from .embedding import WIDTH, long_form, word_vectors
+from .lexical import KEYS, turns
+from .registry import query
+from .tables import CANDIDATES, candidates, dialogues, fold_sql, order_candidates, pairs
+
+# Small learners keep the queries quick; the presets hold the full settings.
+SMALL = {"trees": 8, "leaves": 8, "min_rows": 5, "bins": 32}
+
+
+def _one_feature(rows):
+    return VectorAssembler(inputCols=["score"], outputCol="features").transform(rows).withColumnRenamed("gain", "target")
+
+
+@query(
+    "linear_fit_one_feature",
+    f"""WITH {CANDIDATES} SELECT round(regr_slope(gain, score), 6) AS slope, round(regr_intercept(gain, score), 6) AS intercept
+      FROM candidates""",
+)
+def linear_fit_one_feature(spark, sf):
+    model = M.linear().fit(_one_feature(candidates(spark, sf)))
+    row = (round(float(model.coefficients[0]), 6), round(float(model.intercept), 6))
+    return spark.createDataFrame([row], "slope double, intercept double")
+
+
+_FOLDS = 5
+_FITS = f"""WITH {CANDIDATES}, {fold_sql('candidates', 'reply_id', _FOLDS)},
+fits AS (
+  SELECT f, regr_slope(gain, score) AS slope, regr_intercept(gain, score) AS intercept
+  FROM folded JOIN (SELECT CAST(range AS INTEGER) AS f FROM range({_FOLDS})) ON fold <> f GROUP BY f)"""
+_OOF = f"""{_FITS} SELECT context_id, reply_id, fold, round(slope * score + intercept, 6) AS pred
+      FROM folded JOIN fits ON fold = f"""
+
+
+def folded_features(spark, sf):
+    return _one_feature(D.assign_folds(candidates(spark, sf), ["reply_id"], _FOLDS))
+
+
+@query("linear_oof", _OOF)
+def linear_oof(spark, sf):
+    """Every row scored by the model fitted without its fold."""
+    rows = folded_features(spark, sf)
+    scored = M.score_folds(rows, M.fit_folds(rows, M.linear(), _FOLDS))
+    return scored.select("context_id", "reply_id", "fold", F.round("pred", 6).alias("pred"))
+
+
+@query(
+    "linear_holdout",
+    f"""{_FITS}, orders_in AS (SELECT o_custkey AS context_id, o_orderkey AS reply_id, o_totalprice / 1000 AS score FROM orders)
+      SELECT context_id, reply_id, round(-avg(slope * score + intercept), 6) AS rank FROM orders_in CROSS JOIN fits
+      GROUP BY context_id, reply_id""",
+)
+def linear_holdout(spark, sf):
+    """Rows outside the folds, scored by all fold models."""
+    models = M.fit_folds(folded_features(spark, sf), M.linear(), _FOLDS)
+    rows = order_candidates(spark, sf).withColumn("score", F.col("score") / 1000)
+    ranked = M.score_holdout(_one_feature(rows), models)
+    return ranked.select("context_id", "reply_id", F.round("rank", 6).alias("rank"))
+
+
+@query("truncated_svd")
+def truncated_svd(spark, sf):
+    """Scores of the conversations on the leading components of their word weights."""
+    docs = turns(spark, sf)
+    counts = G.term_counts(docs, KEYS, G.WORDS)
+    vocab = G.vocabulary(counts, docs, max_features=2000)
+    vectors = G.Vectorizer.from_vocabulary(G.WORDS, vocab).transform(docs, "text", "v")
+    svd = TruncatedSvd.fit(vectors, "v", 8)
+    return long_form(svd.project(G.tfidf(counts, vocab, KEYS), docs, KEYS), KEYS)
+
+
+def document_features(spark, sf):
+    """Labelled documents with the sentence vector of their text, in three folds, settled for repeated reading."""
+    rows = X.clean_columns(pairs(spark, sf), ["reply"])
+    rows = rows.withColumn("target", target(F.col("label"), F.col("confidence"), 0))
+    keys = ["context_id", "reply_id"]
+    found = P.embedding_features(rows, word_vectors(spark, sf), WIDTH, ["reply"])
+    folded = D.assign_folds(rows.select(*keys, "target"), ["reply_id"], 3)
+    return settle(found.join(folded, keys))
+
+
+@query("gbt_oof")
+def gbt_oof(spark, sf):
+    rows = document_features(spark, sf)
+    models = M.fit_folds(rows, M.boosted("embedding", **SMALL), 3)
+    return M.score_folds(rows, models).select("context_id", "reply_id", "fold", "target", F.round("pred", 6).alias("pred"))
+
+
+@query("gbt_early_stop")
+def gbt_early_stop(spark, sf):
+    """Valid loss after each tree of the first fold, and whether the tree is kept."""
+    rows = document_features(spark, sf)
+    estimator = M.boosted("embedding", **(SMALL | {"trees": 20, "rate": 0.5}))
+    model, losses = M.fit_early_stopped(estimator, D.train_rows(rows, 0), D.valid_rows(rows, 0))
+    return spark.createDataFrame(
+        [(i, float(loss), i <= model.kept) for i, loss in enumerate(losses, 1)], "tree int, loss double, kept boolean"
+    )
+
+
+@query("holdout_score")
+def holdout_score(spark, sf):
+    """The assistant replies of the dialogues ranked by the document models."""
+    models = M.fit_folds(document_features(spark, sf), M.boosted("embedding", **SMALL), 3)
+    replies = X.clean_columns(dialogues(spark, sf), ["reply"])
+    found = P.embedding_features(replies, word_vectors(spark, sf), WIDTH, ["reply"])
+    return T.holdout_scores(models, found).select("context_id", "reply_id", F.round("rank", 6).alias("rank"))
+
+
+@query("embedding_ranker")
+def embedding_ranker(spark, sf):
+    """Per-fold report of boosted trees on sentence vectors."""
+    rows = document_features(spark, sf)
+    return T.train_and_rank(rows, M.boosted("embedding", **SMALL), 3).report
+
+
+def dialogue_rows(spark, sf):
+    """Cleaned dialogues with a target: their reply's share of the longest reply's words is not known,
+    so the reply's word count stands in for relevance."""
+    rows = X.clean_columns(dialogues(spark, sf), ["context_2", "context_1", "context_0", "reply"])
+    words = F.size(F.split("reply", " ")).cast("double")
+    return D.assign_folds(rows.withColumn("target", F.log1p(words)), ["context_id", "reply_id"], 2)
+
+
+SMALL_LEXICAL = LexicalSettings(
+    char_range=(2, 3), word_range=(1, 2), max_features=500, components=4, text_columns=("context_0", "reply")
+)
+
+
+@query("lexical_ranker")
+def lexical_ranker(spark, sf):
+    """Per-fold report of boosted trees on SVD scores fitted fold by fold."""
+    rows = settle(dialogue_rows(spark, sf))
+    path = scratch_path(spark, "lexical")
+    P.write_fold_features(
+        spark, path, rows, rows.limit(0), 2, lambda train, r: P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform(r)
+    )
+    return T.train_and_rank(P.stored_fold(spark, path), M.boosted("lexical", **SMALL), 2).report
+
+
+@query("word_vector_ranker")
+def word_vector_ranker(spark, sf):
+    """Per-fold report of early-stopped trees on weighted word vectors."""
+    rows = settle(dialogue_rows(spark, sf))
+    vectors = settle(word_vectors(spark, sf).drop("idx"))
+    path = scratch_path(spark, "word-vectors")
+    small = replace(SMALL_LEXICAL, components=None)
+    P.write_fold_features(
+        spark, path, rows, rows.limit(0), 2, lambda train, r: P.word_vector_features(train, r, vectors, WIDTH, small)
+    )
+    estimator = M.boosted("word_vectors", **SMALL)
+    return T.train_and_rank(P.stored_fold(spark, path), estimator, 2, early_stopping=True).report
+
+
+@query("mixed_ranker")
+def mixed_ranker(spark, sf):
+    """Per-fold report on SVD scores beside sentence vectors, scaled to unit variance."""
+    rows = settle(dialogue_rows(spark, sf))
+    vectors = settle(word_vectors(spark, sf).drop("idx"))
+    columns = SMALL_LEXICAL.text_columns
+
+    def build(train, r):
+        blocks = [P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform(r), P.embedding_features(r, vectors, WIDTH, columns)]
+        arrays = [("a", b.withColumn("a", vector_to_array("features"))) for b in blocks]
+        bound = E.bind_columns(arrays, P.KEYS)
+        return bound.withColumn("features", P.array_to_vector("features"))
+
+    path = scratch_path(spark, "mixed")
+    P.write_fold_features(spark, path, rows, rows.limit(0), 2, build, scale=True)
+    return T.train_and_rank(P.stored_fold(spark, path), M.boosted("mixed", **SMALL), 2).report
+
+
+@query("blend_models")
+def blend_models(spark, sf):
+    """Best single learner or blend per fold of the document features."""
+    rows = document_features(spark, sf)
+    learners = {"lr": M.linear(ridge=0.01)} | {n: M.boosted(n, **(SMALL | {"trees": 4})) for n in ("xgb", "cat", "lgbm")}
+    done = T.blend_and_rank(lambda f: (D.train_rows(rows, f), D.valid_rows(rows, f)), learners, 3)
+    return done.choices.select("fold", "best", "way", F.concat_ws("_", "members").alias("members"), F.round("loss", 6).alias("loss"))
