@@ -113,6 +113,13 @@ def recompose_accents(texts: pd.Series) -> pd.Series:
     return texts.map(_without_marks, na_action="ignore")
 
 
+def bare_tokens(c: Column) -> Column:
+    """Word tokens in lower case without accents. Words are cut first, then the joined words are
+    treated in one go: neither step adds or removes a space."""
+    words = strip_accents(F.lower(word_text(c)))
+    return F.filter(F.split(words, " "), lambda t: t != "")
+
+
 def drop_tokens(tokens: Column, garbage: Iterable[str] = ()) -> Column:
     """Drop one-character tokens and the tokens of a stop list."""
     garbage = sorted(set(garbage))

@@ -9,8 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_tokens, key_prefix, strip_accents, word_tokens
-from ..session import colocate
+from ..functions.text import bare_tokens, drop_tokens, join_tokens, key_prefix, strip_accents
+from ..session import BROADCAST_BYTES, broadcast_if_small, colocate, table_bytes
 
 
 def zeros(width: int) -> Column:
@@ -25,6 +25,7 @@ def last_wins(df: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
 def with_lemma(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:
     """Replace each token by its lemma where the dictionary ``(token, lemma)`` has one."""
     pairs = lemmas.select(F.col("token").alias("__t"), F.col("lemma").alias("__l"))
+    pairs = broadcast_if_small(pairs, F.octet_length("__t") + F.octet_length("__l") + 64)
     return (
         tokens.join(pairs, F.col(token) == F.col("__t"), "left")
         .withColumn(token, F.coalesce("__l", token))
@@ -43,11 +44,9 @@ def clean_tokens(
     """
     keys = list(keys)
     if lemmas is None:
-        words = F.transform(word_tokens(F.col(text)), lambda t: strip_accents(F.lower(t)))
-        return df.select(*keys, F.concat_ws(" ", drop_tokens(words, garbage)).alias(text))
+        return df.select(*keys, join_tokens(drop_tokens(bare_tokens(F.col(text)), garbage)).alias(text))
     spread = colocate(df.select(*keys, text), *keys)
-    tokens = spread.select(*keys, F.posexplode(word_tokens(F.col(text))).alias("pos", "token"))
-    tokens = with_lemma(tokens.withColumn("token", strip_accents(F.lower("token"))), lemmas)
+    tokens = with_lemma(spread.select(*keys, F.posexplode(bare_tokens(F.col(text))).alias("pos", "token")), lemmas)
     kept = tokens.where(F.length("token") > 1)
     garbage = sorted(set(garbage))
     if garbage:
@@ -79,42 +78,125 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return measured.withColumn("vector", F.transform("vector", lambda x: x / F.col("__len"))).drop("__len")
 
 
-def _back_to_rows(rows: DataFrame, summed: DataFrame, keys: Sequence[str], width: int, out: str) -> DataFrame:
-    """Texts without a known term get the zero vector."""
-    return rows.select(*keys).join(summed, list(keys), "left").withColumn(out, F.coalesce(out, zeros(width)))
+def _blocks(vectors: DataFrame, width: int, limit: int) -> list[DataFrame]:
+    """The vector table in parts small enough to broadcast, by a hash of the word.
+
+    Sending the table to every executor costs its size once per executor. Sending
+    tokens to the table instead would shuffle one whole vector per token.
+    """
+    size = table_bytes(vectors, width * 8 + 64)
+    count = max(1, -(-size // limit))
+    if count == 1:
+        return [vectors]
+    part = F.pmod(F.xxhash64("word"), F.lit(count))
+    return [vectors.where(part == i) for i in range(count)]
+
+
+def _summed(
+    weights: DataFrame, keys: Sequence[str], vectors: DataFrame, width: int, out: str, limit: int
+) -> DataFrame:
+    """``(keys, out, mass)``: weighted vector sum and sum of the weights that met a vector.
+
+    ``weights`` is ``(keys, term, weight)``, partitioned by text, and stays so: every
+    part of the vector table is broadcast, and sums are running, constant-size state.
+    """
+    total = Summarizer.sum(array_to_vector(F.col("__v")), F.col("weight"))
+    parts = []
+    for block in _blocks(vectors, width, limit):
+        known = F.broadcast(block.select(F.col("word").alias("term"), F.col("vector").alias("__v")))
+        met = weights.join(known, "term").groupBy(*keys)
+        parts.append(met.agg(total.alias("__s"), F.sum("weight").alias("mass")))
+    if len(parts) == 1:
+        return parts[0].select(*keys, vector_to_array("__s").alias(out), "mass")
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    merged = union.groupBy(*keys).agg(Summarizer.sum(F.col("__s"), F.lit(1.0)).alias("__s"), F.sum("mass").alias("mass"))
+    return merged.select(*keys, vector_to_array("__s").alias(out), "mass")
+
+
+def _token_counts(located: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    tokens = located.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))).alias("term"))
+    return tokens.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("weight"))
+
+
+def _filled(rows: DataFrame, found: DataFrame, keys: Sequence[str], width: int, out: str) -> DataFrame:
+    """Rows without a vector get the zero vector. Both sides lie partitioned by ``keys``."""
+    return rows.select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce(out, zeros(width)).alias(out))
+
+
+def _mean_of(found: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    return found.select(*keys, F.transform(out, lambda x: x / F.col("mass")).alias(out))
 
 
 def sentence_vectors(
-    df: DataFrame, keys: Sequence[str], text: str, vectors: DataFrame, width: int, row: Sequence[str] | None = None, out: str = "vector"
+    df: DataFrame, keys: Sequence[str], text: str, vectors: DataFrame, width: int, out: str = "vector", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Mean of the unit vectors of a text's known tokens, one row per text.
 
-    Equal tokens of a text are counted before the lookup, and the mean is a
-    constant-size running aggregate.
+    Equal tokens of a text are counted before the lookup.
     """
     keys = list(keys)
-    spread = colocate(df.select(*keys, text), *(row or keys))
-    tokens = spread.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))).alias("word"))
-    counted = tokens.groupBy(*keys, "word").agg(F.count("*").cast("double").alias("tf"))
-    looked_up = counted.join(unit_vectors(vectors), "word")
-    mean = Summarizer.mean(array_to_vector(F.col("vector")), F.col("tf"))
-    summed = looked_up.groupBy(*keys).agg(mean.alias("__m")).select(*keys, vector_to_array("__m").alias(out))
-    return _back_to_rows(spread, summed, keys, width, out)
+    located = colocate(df.select(*keys, text), *keys)
+    found = _summed(_token_counts(located, keys, text), keys, unit_vectors(vectors), width, out, limit)
+    return _filled(located, _mean_of(found, keys, out), keys, width, out)
 
 
 def weighted_vectors(
-    weights: DataFrame, rows: DataFrame, keys: Sequence[str], vectors: DataFrame, width: int, out: str = "vector"
+    weights: DataFrame, rows: DataFrame, keys: Sequence[str], vectors: DataFrame, width: int, out: str = "vector", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Sum of term vectors times term weights, one row per text of ``rows``.
 
     ``weights`` is ``(keys, term, weight)``; terms without a vector add nothing.
     """
     keys = list(keys)
-    known = vectors.select(F.col("word").alias("term"), "vector")
-    total = Summarizer.sum(array_to_vector(F.col("vector")), F.col("weight"))
-    joined = weights.select(*keys, "term", "weight").join(known, "term")
-    summed = joined.groupBy(*keys).agg(total.alias("__s")).select(*keys, vector_to_array("__s").alias(out))
-    return _back_to_rows(rows, summed, keys, width, out)
+    found = _summed(weights.select(*keys, "term", "weight"), keys, vectors, width, out, limit)
+    return _filled(colocate(rows.select(*keys), *keys), found, keys, width, out)
+
+
+def spread_columns(
+    found: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str], width: int, vector: str = "vector", out: str = "features"
+) -> DataFrame:
+    """Put the vectors of a row's text columns end to end, zero where a column has none.
+
+    ``found`` is ``(keys, column, vector)``, one row per column that has a vector.
+    """
+    keys = list(keys)
+    picked = [
+        F.coalesce(F.first(F.when(F.col("column") == c, F.col(vector)), ignorenulls=True), zeros(width)) for c in columns
+    ]
+    bound = found.groupBy(*keys).agg(F.concat(*picked).alias(out))
+    return _filled(rows, bound, keys, width * len(columns), out)
+
+
+def column_sentence_vectors(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], vectors: DataFrame, width: int, out: str = "features", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Sentence vectors of several text columns, end to end: ``(keys, features)``.
+
+    Rows are shuffled once, by their key; all columns of a row stay together.
+    """
+    keys, cell = list(keys), [*keys, "column"]
+    located = colocate(df.select(*keys, *columns), *keys)
+    stacked = located.unpivot(keys, list(columns), "column", "text")
+    found = _summed(_token_counts(stacked, cell, "text"), cell, unit_vectors(vectors), width, "vector", limit)
+    return spread_columns(_mean_of(found, cell, "vector"), located, keys, columns, width, out=out)
+
+
+def column_weighted_vectors(
+    weights: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    vectors: DataFrame,
+    width: int,
+    out: str = "features",
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Weighted vector sums of several text columns, end to end: ``weights`` is ``(keys, column, term, weight)``."""
+    keys, cell = list(keys), [*keys, "column"]
+    found = _summed(weights.select(*cell, "term", "weight"), cell, vectors, width, "vector", limit)
+    return spread_columns(found, colocate(rows.select(*keys), *keys), keys, columns, width, out=out)
 
 
 def bind_columns(blocks: Sequence[tuple[str, DataFrame]], keys: Sequence[str], out: str = "features") -> DataFrame:
@@ -130,9 +212,3 @@ def bind_columns(blocks: Sequence[tuple[str, DataFrame]], keys: Sequence[str], o
         joined = part if joined is None else joined.join(part, keys)
         names.append(name)
     return joined.select(*keys, F.concat(*names).alias(out))
-
-
-def spread_blocks(df: DataFrame, keys: Sequence[str], column: str, columns: Sequence[str], vector: str, out: str = "features") -> DataFrame:
-    """Put the vectors of a row's text columns end to end: ``(keys, column, vector)`` to ``(keys, features)``."""
-    picked = [F.first(F.when(F.col(column) == c, F.col(vector)), ignorenulls=True) for c in columns]
-    return df.groupBy(*keys).agg(F.concat(*picked).alias(out))

@@ -50,7 +50,7 @@ def assign_folds(df: DataFrame, keys: Sequence[str], k: int = FOLDS, seed: int =
     inside = F.row_number().over(W.partitionBy("__bucket").orderBy("__hash", *keys))
     return (
         hashed.withColumn("__inside", inside - 1)
-        .join(F.broadcast(offsets), "__bucket")
+        .join(F.broadcast(offsets), "__bucket", "left")
         .withColumn(out, fold_of(F.col("__before") + F.col("__inside"), F.col("__total"), k).cast("int"))
         .select(*df.columns, out)
     )

@@ -8,8 +8,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..settings import BOOST_PRESETS, STOP_ROUNDS, BoostPreset
 from .folds import train_rows, valid_rows
@@ -117,8 +118,9 @@ def fit_folds(
 
     if parallelism <= 1:
         return {f: fit(f) for f in range(folds)}
+    session = SparkSession.getActiveSession()
     with ThreadPoolExecutor(parallelism) as pool:
-        return dict(zip(range(folds), pool.map(fit, range(folds))))
+        return dict(zip(range(folds), pool.map(inheritable_thread_target(session)(fit), range(folds))))
 
 
 def score_folds(features, models: Mapping[int, object], roles: Sequence[str] = ("valid",), out: str = "pred") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
-from ..session import colocate, settle
+from ..session import broadcast_if_small, colocate, settle
 from ..settings import MAX_DF, MAX_FEATURES, MIN_DF
 from .numbering import HOT_ROWS, number_within
 
@@ -49,16 +49,18 @@ def stack_columns(df: DataFrame, ids: Sequence[str], text_cols: Sequence[str]) -
     return df.unpivot(list(ids), list(text_cols), "column", "text")
 
 
+def _word_grams(df: DataFrame, analyzer: Analyzer, text: str) -> tuple[DataFrame, list[str]]:
+    """Add one array column per n-gram length, over tokens of two or more characters."""
+    df = df.withColumn("__g1", F.filter(word_tokens(F.col(text)), lambda t: F.length(t) > 1))
+    for n in range(max(2, analyzer.lo), analyzer.hi + 1):
+        df = NGram(n=n, inputCol="__g1", outputCol=f"__g{n}").transform(df)
+    return df, [f"__g{n}" for n in range(analyzer.lo, analyzer.hi + 1)]
+
+
 def word_terms(df: DataFrame, analyzer: Analyzer, text: str = "text", out: str = "terms") -> DataFrame:
-    """Add the array of word n-grams over tokens of two or more characters."""
-    df = df.withColumn("__tokens", F.filter(word_tokens(F.col(text)), lambda t: F.length(t) > 1))
-    grams = []
-    for n in range(analyzer.lo, analyzer.hi + 1):
-        name = "__tokens" if n == 1 else f"__g{n}"
-        if n > 1:
-            df = NGram(n=n, inputCol="__tokens", outputCol=name).transform(df)
-        grams.append(name)
-    return df.withColumn(out, F.concat(*grams)).drop("__tokens", *grams)
+    """Add the array of a text's word n-grams."""
+    df, grams = _word_grams(df, analyzer, text)
+    return df.withColumn(out, F.concat(*grams)).drop("__g1", *grams)
 
 
 def _windows(text: Column, n: int) -> Column:
@@ -92,7 +94,10 @@ def term_rows(df: DataFrame, keep: Sequence[str], analyzer: Analyzer, text: str
     keep = list(keep)
     if analyzer.kind == "char":
         return _char_rows(df, keep, analyzer, text)
-    return word_terms(df, analyzer, text).select(*keep, F.explode("terms").alias("term"))
+    df, grams = _word_grams(df, analyzer, text)
+    # An expression, not a column: for a column the optimizer adds a filter on its
+    # size, pushes it down, and cuts every text into terms twice.
+    return df.select(*keep, F.explode(F.concat(*grams)).alias("term"))
 
 
 def term_counts(
@@ -129,13 +134,24 @@ def top_terms(
 ) -> DataFrame:
     """The most frequent terms with a 0-based ``idx``; ties by term. One choice per group of ``by``.
 
-    The totals are settled first: they are far smaller than the texts they sum
-    up, and both the size check and the numbering read them.
+    The totals are settled first, since the size check and the numbering both read
+    them, and so is the choice: both are far smaller than the texts they come from.
     """
     ranked = number_within(settle(totals), by, {"__rank": [F.col("total").desc(), F.col("term").asc()]}, hot_rows)
     if max_features is not None:
         ranked = ranked.where(F.col("__rank") <= max_features)
-    return ranked.withColumn("idx", F.col("__rank") - 1).drop("__rank")
+    return settle(ranked.withColumn("idx", F.col("__rank") - 1).drop("__rank"))
+
+
+def _looked_up(counts: DataFrame, vocab: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Join counts with the vocabulary, by broadcast if its measured size allows.
+
+    A capped vocabulary always fits, and then the counts keep their partitioning
+    by text. Otherwise both are shuffled by term and adaptive execution splits the
+    frequent terms.
+    """
+    known = vocab.select(*on, *cols)
+    return counts.join(broadcast_if_small(known, F.octet_length("term") + 64), list(on))
 
 
 def vocabulary(
@@ -190,23 +206,16 @@ def fold_vocabularies(
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, keys: Sequence[str], on: Sequence[str] = ("term",)) -> DataFrame:
-    """``(keys, term, idx, weight)``: tf · idf with unit length per text.
-
-    The join is left to the optimizer: a capped vocabulary is broadcast, a larger
-    one is shuffled and adaptive execution splits the frequent terms. The norm
-    groups by text, which the counts are already partitioned by.
-    """
+    """``(keys, term, idx, weight)``: tf · idf with unit length per text."""
     keys = list(keys)
-    weighted = counts.join(vocab.select(*on, "idx", "idf"), list(on)).withColumn("__w", F.col("tf") * F.col("idf"))
+    weighted = _looked_up(counts, vocab, on, ["idx", "idf"]).withColumn("__w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(W.partitionBy(*keys)))
     return weighted.withColumn("weight", F.col("__w") / norm).select(*keys, "term", "idx", "weight")
 
 
 def count_weights(counts: DataFrame, vocab: DataFrame, keys: Sequence[str], on: Sequence[str] = ("term",)) -> DataFrame:
     """``(keys, term, idx, weight)`` with the raw count as weight."""
-    return counts.join(vocab.select(*on, "idx"), list(on)).select(
-        *keys, "term", "idx", F.col("tf").cast("double").alias("weight")
-    )
+    return _looked_up(counts, vocab, on, ["idx"]).select(*keys, "term", "idx", F.col("tf").cast("double").alias("weight"))
 
 
 def feature_union(blocks: dict[str, DataFrame]) -> DataFrame:

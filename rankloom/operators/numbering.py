@@ -58,10 +58,10 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> t
     no more than ``rows / hot_rows`` hot groups.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows)
+    if sizes.isEmpty():
+        return df, None
     marks = [f"__h{i}" for i in range(len(keys))]
     hot = settle(sizes.select(*[F.col(k).alias(m) for k, m in zip(keys, marks)]))
-    if hot.isEmpty():
-        return df, None
     return df.join(hot, _same(keys, marks), "left_anti"), df.join(hot, _same(keys, marks), "left_semi")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as X
+from ..operators.embed import clean_tokens
 from ..settings import TEXT_COLUMNS
 from ..sources import delimited as S
 
@@ -39,13 +40,10 @@ def prepare(
         return X.clean_columns(df, text_cols)
     if mode != "tokens":
         raise ValueError("mode must be 'default' or 'tokens'")
-    from ..operators.embed import clean_tokens
-
     if lemmas is None:
 
         def tidy(c):
-            bare = F.transform(X.word_tokens(c), lambda t: X.strip_accents(F.lower(t)))
-            return X.join_tokens(X.drop_tokens(bare, garbage))
+            return X.join_tokens(X.drop_tokens(X.bare_tokens(c), garbage))
 
         return X.clean_columns(df, text_cols, tidy)
     for c in text_cols:

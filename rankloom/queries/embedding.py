@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import embed as E
 from ..operators import lexical as G
 from ..operators.reduce import UnitVariance
+from ..session import settle
 from ..settings import TEXT_COLUMNS
-from .lexical import CELL, CELLS, KEYS, TURNS, WORD_WEIGHTS, cells, turns, word_weights
+from .lexical import CELLS, KEYS, TURNS, WORD_WEIGHTS, turns, word_weights
 from .registry import query
-from .tables import table
+from .tables import dialogues, table
 
 WIDTH = 64
 
@@ -23,7 +25,7 @@ def word_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("vector")
     )
-    return ranked.join(vectors, "idx").select(F.col("term").alias("word"), "vector", "idx")
+    return settle(ranked.join(vectors, "idx").select(F.col("term").alias("word"), "vector", "idx"))
 
 
 _WORD_VECTORS = """words AS (
@@ -123,10 +125,8 @@ def prepare_word_vectors(spark, sf):
 
 def text_feature_rows(spark, sf):
     """Sentence vectors of the four text columns, end to end."""
-    found = E.sentence_vectors(
-        cells(spark, sf), CELL, "text", word_vectors(spark, sf), WIDTH, row=["context_id", "reply_id"]
-    )
-    return E.spread_blocks(found, ["context_id", "reply_id"], "column", TEXT_COLUMNS, "vector")
+    rows = X.clean_columns(dialogues(spark, sf), TEXT_COLUMNS)
+    return E.column_sentence_vectors(rows, ["context_id", "reply_id"], TEXT_COLUMNS, word_vectors(spark, sf), WIDTH)
 
 
 _BLOCK = "CASE \"column\" " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(TEXT_COLUMNS)) + " END"

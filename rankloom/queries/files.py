@@ -168,6 +168,6 @@ def model_store(spark, sf):
     """Out-of-fold scores of models that were saved and loaded."""
     path = scratch_path(spark, "models")
     rows = folded_features(spark, sf)
-    stores.save_models(spark, M.fit_folds(rows, M.linear(), _FOLDS), path)
+    stores.save_models(spark, M.fit_folds(rows, M.linear(), _FOLDS, parallelism=_FOLDS), path)
     scored = M.score_folds(rows, stores.load_models(spark, path, _FOLDS))
     return scored.select("context_id", "reply_id", "fold", F.round("pred", 6).alias("pred"))

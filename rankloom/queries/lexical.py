@@ -9,7 +9,7 @@ from ..operators import folds as D
 from ..operators import lexical as G
 from ..settings import TEXT_COLUMNS
 from .registry import query
-from .tables import DIALOGUES, dialogues, table
+from .tables import DIALOGUES, dialogues, table, texts
 from .text import clean_sql
 
 KEYS = ["conv_id", "turn"]
@@ -18,14 +18,14 @@ CELL = ["context_id", "reply_id", "column"]
 
 def turns(spark, sf):
     """Conversation turns with cleaned text."""
-    return X.clean_columns(table(spark, sf, "conversations").select(*KEYS, "text"), ["text"])
+    return X.clean_columns(texts(spark, sf, "conversations", *KEYS), ["text"])
 
 
 TURNS = f"turns AS (SELECT conv_id, turn, {clean_sql('text')} AS text FROM conversations)"
 
 
 def documents(spark, sf):
-    return X.clean_columns(table(spark, sf, "documents").select("doc_id", "text"), ["text"])
+    return X.clean_columns(texts(spark, sf, "documents", "doc_id"), ["text"])
 
 
 def cells(spark, sf):

@@ -53,14 +53,14 @@ _OOF = f"""{_FITS} SELECT context_id, reply_id, fold, round(slope * score + inte
 
 
 def folded_features(spark, sf):
-    return _one_feature(D.assign_folds(candidates(spark, sf), ["reply_id"], _FOLDS))
+    return _one_feature(settle(D.assign_folds(candidates(spark, sf), ["reply_id"], _FOLDS)))
 
 
 @query("linear_oof", _OOF)
 def linear_oof(spark, sf):
     """Every row scored by the model fitted without its fold."""
     rows = folded_features(spark, sf)
-    scored = M.score_folds(rows, M.fit_folds(rows, M.linear(), _FOLDS))
+    scored = M.score_folds(rows, M.fit_folds(rows, M.linear(), _FOLDS, parallelism=_FOLDS))
     return scored.select("context_id", "reply_id", "fold", F.round("pred", 6).alias("pred"))
 
 
@@ -72,7 +72,7 @@ def linear_oof(spark, sf):
 )
 def linear_holdout(spark, sf):
     """Rows outside the folds, scored by all fold models."""
-    models = M.fit_folds(folded_features(spark, sf), M.linear(), _FOLDS)
+    models = M.fit_folds(folded_features(spark, sf), M.linear(), _FOLDS, parallelism=_FOLDS)
     rows = order_candidates(spark, sf).withColumn("score", F.col("score") / 1000)
     ranked = M.score_holdout(_one_feature(rows), models)
     return ranked.select("context_id", "reply_id", F.round("rank", 6).alias("rank"))
@@ -102,7 +102,7 @@ def document_features(spark, sf):
 @query("gbt_oof")
 def gbt_oof(spark, sf):
     rows = document_features(spark, sf)
-    models = M.fit_folds(rows, M.boosted("embedding", **SMALL), 3)
+    models = M.fit_folds(rows, M.boosted("embedding", **SMALL), 3, parallelism=3)
     return M.score_folds(rows, models).select("context_id", "reply_id", "fold", "target", F.round("pred", 6).alias("pred"))
 
 
@@ -120,7 +120,7 @@ def gbt_early_stop(spark, sf):
 @query("holdout_score")
 def holdout_score(spark, sf):
     """The assistant replies of the dialogues ranked by the document models."""
-    models = M.fit_folds(document_features(spark, sf), M.boosted("embedding", **SMALL), 3)
+    models = M.fit_folds(document_features(spark, sf), M.boosted("embedding", **SMALL), 3, parallelism=3)
     replies = X.clean_columns(dialogues(spark, sf), ["reply"])
     found = P.embedding_features(replies, word_vectors(spark, sf), WIDTH, ["reply"])
     return T.holdout_scores(models, found).select("context_id", "reply_id", F.round("rank", 6).alias("rank"))
@@ -130,12 +130,11 @@ def holdout_score(spark, sf):
 def embedding_ranker(spark, sf):
     """Per-fold report of boosted trees on sentence vectors."""
     rows = document_features(spark, sf)
-    return T.train_and_rank(rows, M.boosted("embedding", **SMALL), 3).report
+    return T.train_and_rank(rows, M.boosted("embedding", **SMALL), 3, parallelism=3).report
 
 
 def dialogue_rows(spark, sf):
-    """Cleaned dialogues with a target: their reply's share of the longest reply's words is not known,
-    so the reply's word count stands in for relevance."""
+    """Cleaned dialogues in two folds; the log word count of the reply stands in for its relevance."""
     rows = X.clean_columns(dialogues(spark, sf), ["context_2", "context_1", "context_0", "reply"])
     words = F.size(F.split("reply", " ")).cast("double")
     return D.assign_folds(rows.withColumn("target", F.log1p(words)), ["context_id", "reply_id"], 2)
@@ -152,30 +151,30 @@ def lexical_ranker(spark, sf):
     rows = settle(dialogue_rows(spark, sf))
     path = scratch_path(spark, "lexical")
     P.write_fold_features(
-        spark, path, rows, rows.limit(0), 2, lambda train, r: P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform(r)
+        spark, path, rows, None, 2, lambda train, r: P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform(r)
     )
-    return T.train_and_rank(P.stored_fold(spark, path), M.boosted("lexical", **SMALL), 2).report
+    return T.train_and_rank(P.stored_fold(spark, path), M.boosted("lexical", **SMALL), 2, parallelism=2).report
 
 
 @query("word_vector_ranker")
 def word_vector_ranker(spark, sf):
     """Per-fold report of early-stopped trees on weighted word vectors."""
     rows = settle(dialogue_rows(spark, sf))
-    vectors = settle(word_vectors(spark, sf).drop("idx"))
+    vectors = word_vectors(spark, sf)
     path = scratch_path(spark, "word-vectors")
     small = replace(SMALL_LEXICAL, components=None)
     P.write_fold_features(
-        spark, path, rows, rows.limit(0), 2, lambda train, r: P.word_vector_features(train, r, vectors, WIDTH, small)
+        spark, path, rows, None, 2, lambda train, r: P.word_vector_features(train, r, vectors, WIDTH, small)
     )
     estimator = M.boosted("word_vectors", **SMALL)
-    return T.train_and_rank(P.stored_fold(spark, path), estimator, 2, early_stopping=True).report
+    return T.train_and_rank(P.stored_fold(spark, path), estimator, 2, early_stopping=True, parallelism=2).report
 
 
 @query("mixed_ranker")
 def mixed_ranker(spark, sf):
     """Per-fold report on SVD scores beside sentence vectors, scaled to unit variance."""
     rows = settle(dialogue_rows(spark, sf))
-    vectors = settle(word_vectors(spark, sf).drop("idx"))
+    vectors = word_vectors(spark, sf)
     columns = SMALL_LEXICAL.text_columns
 
     def build(train, r):
@@ -185,8 +184,8 @@ def mixed_ranker(spark, sf):
         return bound.withColumn("features", P.array_to_vector("features"))
 
     path = scratch_path(spark, "mixed")
-    P.write_fold_features(spark, path, rows, rows.limit(0), 2, build, scale=True)
-    return T.train_and_rank(P.stored_fold(spark, path), M.boosted("mixed", **SMALL), 2).report
+    P.write_fold_features(spark, path, rows, None, 2, build, scale=True)
+    return T.train_and_rank(P.stored_fold(spark, path), M.boosted("mixed", **SMALL), 2, parallelism=2).report
 
 
 @query("blend_models")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import earlier_values
+from ..session import spread_scan
 
 MODELS = ("lr", "xgb", "cat", "lgbm")
 
@@ -14,9 +15,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *keys: str) -> DataFrame:
+    """A table of texts, wide enough to clean and cut them in parallel."""
+    return spread_scan(table(spark, sf, name).select(*keys, "text"), *keys)
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as labelled candidates of their source."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = spread_scan(table(spark, sf, "documents").drop("lang"), "doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
     label = (
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
         .when((F.col("quality") == 1) & (F.col("toxic") == 1), "neutral")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as X
 from ..operators import embed as E
+from ..session import settle
 from .registry import query
-from .tables import DIALOGUES, PAIRS, dialogues, pairs, table
+from .tables import DIALOGUES, PAIRS, dialogues, pairs, table, texts
 
 _REPLACED = "lower(text)"
 for _key, _word in {**X.SYMBOL_WORDS, **X.DIGIT_WORDS}.items():
@@ -23,7 +24,7 @@ def clean_sql(text: str) -> str:
 
 def _documents(expression):
     def run(spark, sf):
-        return table(spark, sf, "documents").select("doc_id", expression(F.col("text")).alias("text"))
+        return texts(spark, sf, "documents", "doc_id").select("doc_id", expression(F.col("text")).alias("text"))
 
     return run
 
@@ -61,7 +62,7 @@ query("strip_accents", "SELECT doc_id, strip_accents(text) AS text FROM document
       FROM (SELECT doc_id, regexp_extract_all(text, {_WORDS}) AS t FROM documents)""",
 )
 def word_tokens(spark, sf):
-    tokens = table(spark, sf, "documents").select("doc_id", X.word_tokens(F.col("text")).alias("t"))
+    tokens = texts(spark, sf, "documents", "doc_id").select("doc_id", X.word_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").alias("n_tokens"), F.concat_ws("|", "t").alias("tokens"))
 
 
@@ -73,7 +74,7 @@ def word_tokens(spark, sf):
 def token_filter(spark, sf):
     tokens = X.word_tokens(F.lower("text"))
     kept = X.drop_tokens(tokens, ["the", "and", "la", "der"])
-    return table(spark, sf, "documents").select("doc_id", X.join_tokens(kept).alias("text"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", X.join_tokens(kept).alias("text"))
 
 
 _CLEAN_COLUMNS = ", ".join(f"{clean_sql(c)} AS {c}" for c in ("context_2", "context_1", "context_0", "reply"))
@@ -95,16 +96,16 @@ lemmas AS (
 
 
 def corpus_tokens(spark, sf):
-    docs = table(spark, sf, "documents")
-    tokens = docs.select("doc_id", F.posexplode(X.word_tokens(F.col("text"))).alias("pos", "token"))
-    return tokens.withColumn("token", X.strip_accents(F.lower("token")))
+    docs = texts(spark, sf, "documents", "doc_id")
+    return docs.select("doc_id", F.posexplode(X.bare_tokens(F.col("text"))).alias("pos", "token"))
 
 
 def corpus_lemmas(spark, sf):
-    words = corpus_tokens(spark, sf).select("token").distinct()
+    words = settle(corpus_tokens(spark, sf).select("token").distinct())
     plural = words.select("token", F.regexp_replace("token", "s$", "").alias("lemma"))
     plural = plural.where((F.col("token") != F.col("lemma")) & (F.length("lemma") > 2))
-    return plural.join(words.withColumnRenamed("token", "lemma"), "lemma", "left_semi").select("token", "lemma")
+    found = plural.join(words.withColumnRenamed("token", "lemma"), "lemma", "left_semi")
+    return settle(found.select("token", "lemma"))
 
 
 @query(
@@ -127,7 +128,7 @@ def lemma_lookup(spark, sf):
         WHERE length(token) > 1 AND token NOT IN ('the', 'and') GROUP BY doc_id) k ON d.doc_id = k.doc_id""",
 )
 def clean_tokens(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id")
     return E.clean_tokens(docs, ["doc_id"], "text", corpus_lemmas(spark, sf), ["the", "and"])
 
 

@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Largest table that is sent whole to every executor.
+BROADCAST_BYTES = 1 << 30
 
 # Session options the jobs are written for. A cluster may set its own
 # spark.sql.shuffle.partitions; nothing here depends on a particular count.
@@ -71,3 +75,23 @@ def colocate(df: DataFrame, *keys: str) -> DataFrame:
     by their size here: texts grow many times over once they become n-grams.
     """
     return df.repartition(shuffle_width(df.sparkSession), *keys)
+
+
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a bare scan that has fewer partitions than there are cores, as a few big files give.
+
+    A scan that is wide enough is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def table_bytes(df: DataFrame, row_bytes: Column | int) -> int:
+    """Exact size of a table from the bytes of each row."""
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    return df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring the table; a larger one is joined by shuffle."""
+    return F.broadcast(df) if table_bytes(df, row_bytes) <= limit else df
