@@ -80,12 +80,13 @@ def _without_marks(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str]:
+def accent_table() -> tuple[str, str, dict[str, str]]:
     """Characters that lose an accent and their replacements, from the Unicode database.
 
     Combining marks come last, without a replacement, so ``translate`` drops them.
+    The few characters that leave two others behind are listed apart.
     """
-    plain, marks = [], []
+    plain, marks, wide = [], [], {}
     for ch in map(chr, range(0x80, sys.maxunicode + 1)):
         if unicodedata.category(ch) == "Mn":
             marks.append(ch)
@@ -93,7 +94,9 @@ def accent_table() -> tuple[str, str]:
             bare = _without_marks(ch)
             if bare != ch and len(bare) == 1:
                 plain.append((ch, bare))
-    return "".join(a for a, _ in plain) + "".join(marks), "".join(b for _, b in plain)
+            elif bare != ch and len(bare) > 1:
+                wide[ch] = bare
+    return "".join(a for a, _ in plain) + "".join(marks), "".join(b for _, b in plain), wide
 
 
 def strip_accents(c: Column) -> Column:
@@ -103,8 +106,9 @@ def strip_accents(c: Column) -> Column:
     characters combine once a mark between them has gone (conjoining Hangul
     jamo, a few Indic vowel pairs) stay apart; ``recompose_accents`` joins those too.
     """
-    source, repl = accent_table()
-    return F.translate(c, source, repl)
+    source, repl, wide = accent_table()
+    split = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), wide.items(), c)
+    return F.translate(F.when(c.rlike(f"[{''.join(wide)}]"), split).otherwise(c), source, repl)
 
 
 @F.pandas_udf(T.StringType())

@@ -53,7 +53,7 @@ def _losses(preds: DataFrame, y: str, named: Sequence[tuple], by: Sequence[str])
         chunk = named[start : start + _PER_PASS]
         cols = [f"l{start + i}" for i in range(len(chunk))]
         sums = preds.groupBy(*by).agg(
-            *[F.avg((F.col(y) - pred) * (F.col(y) - pred)).alias(c) for c, (_, pred) in zip(cols, chunk)]
+            *[F.avg(F.pow(F.col(y) - pred, F.lit(2.0))).alias(c) for c, (_, pred) in zip(cols, chunk)]
         )
         rows = [F.struct(*label, F.col(c).alias("loss")) for c, (label, _) in zip(cols, chunk)]
         parts.append(sums.select(*by, F.inline(F.array(*rows))))

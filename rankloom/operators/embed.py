@@ -177,10 +177,9 @@ def column_sentence_vectors(
     Rows are shuffled once, by their key; all columns of a row stay together.
     """
     keys, cell = list(keys), [*keys, "column"]
-    located = colocate(df.select(*keys, *columns), *keys)
-    stacked = located.unpivot(keys, list(columns), "column", "text")
+    stacked = colocate(df.unpivot(keys, list(columns), "column", "text"), *keys)
     found = _summed(_token_counts(stacked, cell, "text"), cell, unit_vectors(vectors), width, "vector", limit)
-    return spread_columns(_mean_of(found, cell, "vector"), located, keys, columns, width, out=out)
+    return spread_columns(_mean_of(found, cell, "vector"), colocate(df.select(*keys), *keys), keys, columns, width, out=out)
 
 
 def column_weighted_vectors(

@@ -197,9 +197,9 @@ def fold_vocabularies(
         (F.col("__df") - F.col("df")).alias("df"),
         (F.col("__total") - F.col("total")).alias("total"),
     )
-    sizes = docs.groupBy("fold").agg(F.count("*").alias("__in"))
-    sizes = sizes.select("fold", (document_count(docs) - F.col("__in")).alias("__n"))
     # One row per fold, at most k of them.
+    sizes = docs.groupBy("fold").agg(F.count("*").alias("__in"))
+    sizes = sizes.select("fold", (F.sum("__in").over(W.partitionBy()) - F.col("__in")).alias("__n"))
     fitted = rest.join(F.broadcast(sizes), "fold")
     kept = within_limits(fitted, F.col("__n"), min_df, max_df).withColumn("idf", idf(F.col("df"), F.col("__n")))
     return top_terms(kept.drop("__n"), max_features, ["fold"], hot_rows)

@@ -15,7 +15,7 @@ from ..sources import delimited as S
 from ..sources import stores, vectors
 from .models import _FOLDS, _OOF, folded_features
 from .registry import query
-from .tables import PAIRS, fold_sql, order_candidates, pairs, table
+from .tables import PAIRS, fold_sql, order_candidates, pairs, table, texts
 from .text import clean_sql
 
 _NA = ", ".join(f"'{x}'" for x in NA_LITERALS)
@@ -78,7 +78,7 @@ def prepared_roundtrip(spark, sf):
 @query("text_lines", f"SELECT {clean_sql('text')} AS text FROM documents")
 def text_lines(spark, sf):
     path = scratch_path(spark, "lines")
-    rows = X.clean_columns(table(spark, sf, "documents").select("doc_id", "text"), ["text"])
+    rows = X.clean_columns(texts(spark, sf, "documents", "doc_id"), ["text"])
     S.write_text_lines(rows, path, "doc_id", ["text"])
     return spark.read.text(f"{path}/text").withColumnRenamed("value", "text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -150,9 +150,7 @@ def lexical_ranker(spark, sf):
     """Per-fold report of boosted trees on SVD scores fitted fold by fold."""
     rows = settle(dialogue_rows(spark, sf))
     path = scratch_path(spark, "lexical")
-    P.write_fold_features(
-        spark, path, rows, None, 2, lambda train, r: P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform(r)
-    )
+    P.write_fold_features(spark, path, rows, None, 2, lambda train: P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform)
     return T.train_and_rank(P.stored_fold(spark, path), M.boosted("lexical", **SMALL), 2, parallelism=2).report
 
 
@@ -164,7 +162,7 @@ def word_vector_ranker(spark, sf):
     path = scratch_path(spark, "word-vectors")
     small = replace(SMALL_LEXICAL, components=None)
     P.write_fold_features(
-        spark, path, rows, None, 2, lambda train, r: P.word_vector_features(train, r, vectors, WIDTH, small)
+        spark, path, rows, None, 2, lambda train: P.fit_word_vector_features(train, vectors, WIDTH, small)
     )
     estimator = M.boosted("word_vectors", **SMALL)
     return T.train_and_rank(P.stored_fold(spark, path), estimator, 2, early_stopping=True, parallelism=2).report
@@ -177,14 +175,18 @@ def mixed_ranker(spark, sf):
     vectors = word_vectors(spark, sf)
     columns = SMALL_LEXICAL.text_columns
 
-    def build(train, r):
-        blocks = [P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform(r), P.embedding_features(r, vectors, WIDTH, columns)]
-        arrays = [("a", b.withColumn("a", vector_to_array("features"))) for b in blocks]
-        bound = E.bind_columns(arrays, P.KEYS)
-        return bound.withColumn("features", P.array_to_vector("features"))
+    def fit(train):
+        lexical = P.LexicalFeatures.fit(train, SMALL_LEXICAL)
+
+        def transform(r):
+            blocks = [lexical.transform(r), P.embedding_features(r, vectors, WIDTH, columns)]
+            arrays = [("a", b.withColumn("a", vector_to_array("features"))) for b in blocks]
+            return E.bind_columns(arrays, P.KEYS).withColumn("features", array_to_vector("features"))
+
+        return transform
 
     path = scratch_path(spark, "mixed")
-    P.write_fold_features(spark, path, rows, None, 2, build, scale=True)
+    P.write_fold_features(spark, path, rows, None, 2, fit, scale=True)
     return T.train_and_rank(P.stored_fold(spark, path), M.boosted("mixed", **SMALL), 2, parallelism=2).report
 
 

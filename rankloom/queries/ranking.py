@@ -126,3 +126,14 @@ def distinct_cutoff(spark, sf):
 @query("distinct_contexts", "SELECT DISTINCT o_custkey AS context_id FROM orders")
 def distinct_contexts(spark, sf):
     return order_candidates(spark, sf).select("context_id").distinct()
+
+
+@query(
+    "mean_ndcg_of_ids",
+    f"""{_ndcg_sql(_ORDERS, 'order_candidates', '3', 0, 'reply_id')}
+      SELECT count(*) AS contexts, round(avg(ndcg) * 100000, 4) AS mean_ndcg FROM scored""",
+)
+def mean_ndcg_of_ids(spark, sf):
+    """Rank and evaluate in one call, with the candidate id as gain."""
+    score = R.rank_and_evaluate(order_candidates(spark, sf), "context_id", "reply_id", "score", loss=True)
+    return score.select("contexts", F.round("mean_ndcg", 4).alias("mean_ndcg"))
