@@ -18,7 +18,7 @@ def discounted(gain: Column, position: Column, method: int = 0) -> Column:
         return gain / F.when(position == 1, F.lit(1.0)).otherwise(F.log2(position))
     if method == 1:
         return gain / F.log2(position + 1)
-    raise ValueError("method must be 0 or 1.")
+    raise ValueError(f"no discount method {method!r}")
 
 
 def blend_mean(preds: Sequence[Column]) -> Column:

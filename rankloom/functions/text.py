@@ -23,9 +23,11 @@ DIGIT_WORDS = {
     "5": "пять", "6": "шесть", "7": "семь", "8": "восемь", "9": "девять",
 }
 
+# A word character is a letter, a number or an underscore, in any script.
 WORD = r"[\p{L}\p{N}_]+"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 SPACE = r"(?U)[\s\x1c-\x1f]"
+# The punctuation that is set apart.
 PUNCTUATION = r"(['\".()!?\-\\/,])"
 
 

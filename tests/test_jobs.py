@@ -10,6 +10,7 @@ from rankloom.operators import learners as M
 from rankloom.plans import features as P
 from rankloom.plans import prepare as A
 from rankloom.plans import training as T
+from rankloom.session import settle
 from rankloom.settings import LexicalSettings
 from rankloom.sources import delimited as S
 
@@ -34,7 +35,8 @@ def prepared(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("job")
     (base / "train.tsv").write_text("\n".join(lines(80, True, 1)) + "\n")
     (base / "final.tsv").write_text("\n".join([*lines(20, False, 2), "9\ttoo\tmany\tfields\t1\tr\textra"]) + "\n")
-    return base, *A.prepare_files(spark, str(base / "train.tsv"), str(base / "final.tsv"), str(base / "out"))
+    train, test = A.prepare_files(spark, str(base / "train.tsv"), str(base / "final.tsv"), str(base / "out"))
+    return base, train, test
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +96,7 @@ def test_embedding_ranker(spark, prepared, vectors, tmp_path):
 def test_lexical_ranker(spark, prepared, tmp_path, components):
     _, train, test = prepared
     settings = LexicalSettings(char_range=(2, 3), word_range=(1, 2), max_features=60, components=components)
-    rows = D.assign_folds(train, ["context_id", "reply_id"], 2)
+    rows = settle(D.assign_folds(train, ["context_id", "reply_id"], 2))
     path = str(tmp_path / "f")
     P.write_fold_features(spark, path, rows, test, 2, lambda tr: P.LexicalFeatures.fit(tr, settings).transform, scale=components is not None)
     valid = P.stored_fold(spark, path)(0)[1]
@@ -106,7 +108,7 @@ def test_lexical_ranker(spark, prepared, tmp_path, components):
 
 def test_word_vector_ranker(spark, prepared, vectors, tmp_path):
     _, train, test = prepared
-    rows = D.assign_folds(train, ["context_id", "reply_id"], 2)
+    rows = settle(D.assign_folds(train, ["context_id", "reply_id"], 2))
     path = str(tmp_path / "f")
     P.write_fold_features(spark, path, rows, test, 2, lambda tr: P.fit_word_vector_features(tr, vectors, 3, LEXICAL))
     done = T.train_and_rank(
@@ -118,7 +120,7 @@ def test_word_vector_ranker(spark, prepared, vectors, tmp_path):
 
 def test_blend(spark, prepared, tmp_path):
     _, train, test = prepared
-    rows = D.assign_folds(train, ["context_id", "reply_id"], 2)
+    rows = settle(D.assign_folds(train, ["context_id", "reply_id"], 2))
     path = str(tmp_path / "f")
     P.write_fold_features(spark, path, rows, test, 2, lambda tr: P.LexicalFeatures.fit(tr, LEXICAL, char_counts=True).transform)
     learners = {"lr": M.linear(ridge=0.1)} | {n: M.boosted(n, **SMALL) for n in ("xgb", "cat", "lgbm")}

@@ -1,4 +1,3 @@
-import re
 import unicodedata
 
 import pytest
@@ -32,7 +31,7 @@ def words(text):
 
 
 def plain_clean(text):
-    text = re.sub(r"(['\".()!?\-\\/,])", r" \1 ", text.lower().strip())
+    text = text.lower()
     for key, word in WORDS.items():
         text = text.replace(key, f" {word} ")
     return " ".join(words(text))
