@@ -150,7 +150,7 @@ def lexical_ranker(spark, sf):
     """Per-fold report of boosted trees on SVD scores fitted fold by fold."""
     rows = settle(dialogue_rows(spark, sf))
     path = scratch_path(spark, "lexical")
-    P.write_fold_features(spark, path, rows, None, 2, lambda train: P.LexicalFeatures.fit(train, SMALL_LEXICAL).transform)
+    P.write_fold_features(spark, path, rows, None, 2, P.LexicalFeatures.fit_folds(rows, 2, SMALL_LEXICAL))
     return T.train_and_rank(P.stored_fold(spark, path), M.boosted("lexical", **SMALL), 2, parallelism=2).report
 
 
@@ -161,9 +161,7 @@ def word_vector_ranker(spark, sf):
     vectors = word_vectors(spark, sf)
     path = scratch_path(spark, "word-vectors")
     small = replace(SMALL_LEXICAL, components=None)
-    P.write_fold_features(
-        spark, path, rows, None, 2, lambda train: P.fit_word_vector_features(train, vectors, WIDTH, small)
-    )
+    P.write_fold_features(spark, path, rows, None, 2, P.fit_word_vector_features(rows, 2, vectors, WIDTH, small))
     estimator = M.boosted("word_vectors", **SMALL)
     return T.train_and_rank(P.stored_fold(spark, path), estimator, 2, early_stopping=True, parallelism=2).report
 
@@ -175,11 +173,13 @@ def mixed_ranker(spark, sf):
     vectors = word_vectors(spark, sf)
     columns = SMALL_LEXICAL.text_columns
 
-    def fit(train):
-        lexical = P.LexicalFeatures.fit(train, SMALL_LEXICAL)
+    fit_lexical = P.LexicalFeatures.fit_folds(rows, 2, SMALL_LEXICAL)
+
+    def fit(f):
+        lexical = fit_lexical(f)
 
         def transform(r):
-            blocks = [lexical.transform(r), P.embedding_features(r, vectors, WIDTH, columns)]
+            blocks = [lexical(r), P.embedding_features(r, vectors, WIDTH, columns)]
             arrays = [("a", b.withColumn("a", vector_to_array("features"))) for b in blocks]
             return E.bind_columns(arrays, P.KEYS).withColumn("features", array_to_vector("features"))
 

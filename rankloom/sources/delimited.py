@@ -81,7 +81,9 @@ def write_prepared(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
 def write_text_lines(df: DataFrame, path: str, row_id: str, columns: Sequence[str], mode: str = "errorifexists") -> None:
     """One line per row and one folder per column, in row order, with the row ids kept beside them in Parquet.
 
-    The texts are computed once, into the Parquet copy that the lines are sorted from. Part files follow each other in row order. A text that holds a line break would shift all later lines, so it is an error.
+    The texts are computed once, into the Parquet copy that the lines are sorted
+    from. Part files follow each other in row order. A text that holds a line break
+    would shift all later lines, so it is an error.
     """
     df.select(row_id, *columns).write.mode(mode).parquet(f"{path}/rows")
     rows = df.sparkSession.read.parquet(f"{path}/rows")

@@ -98,7 +98,7 @@ def test_lexical_ranker(spark, prepared, tmp_path, components):
     settings = LexicalSettings(char_range=(2, 3), word_range=(1, 2), max_features=60, components=components)
     rows = settle(D.assign_folds(train, ["context_id", "reply_id"], 2))
     path = str(tmp_path / "f")
-    P.write_fold_features(spark, path, rows, test, 2, lambda tr: P.LexicalFeatures.fit(tr, settings).transform, scale=components is not None)
+    P.write_fold_features(spark, path, rows, test, 2, P.LexicalFeatures.fit_folds(rows, 2, settings), scale=components is not None)
     valid = P.stored_fold(spark, path)(0)[1]
     width = valid.first().features.size
     assert width == (4 * 2 * 3 if components else width) and width > 20
@@ -110,7 +110,7 @@ def test_word_vector_ranker(spark, prepared, vectors, tmp_path):
     _, train, test = prepared
     rows = settle(D.assign_folds(train, ["context_id", "reply_id"], 2))
     path = str(tmp_path / "f")
-    P.write_fold_features(spark, path, rows, test, 2, lambda tr: P.fit_word_vector_features(tr, vectors, 3, LEXICAL))
+    P.write_fold_features(spark, path, rows, test, 2, P.fit_word_vector_features(rows, 2, vectors, 3, LEXICAL))
     done = T.train_and_rank(
         P.stored_fold(spark, path), M.boosted("word_vectors", **SMALL), 2, P.stored_holdout(spark, path), early_stopping=True, rounds=2
     )
@@ -122,7 +122,7 @@ def test_blend(spark, prepared, tmp_path):
     _, train, test = prepared
     rows = settle(D.assign_folds(train, ["context_id", "reply_id"], 2))
     path = str(tmp_path / "f")
-    P.write_fold_features(spark, path, rows, test, 2, lambda tr: P.LexicalFeatures.fit(tr, LEXICAL, char_counts=True).transform)
+    P.write_fold_features(spark, path, rows, test, 2, P.LexicalFeatures.fit_folds(rows, 2, LEXICAL, char_counts=True))
     learners = {"lr": M.linear(ridge=0.1)} | {n: M.boosted(n, **SMALL) for n in ("xgb", "cat", "lgbm")}
     done = T.blend_and_rank(P.stored_fold(spark, path), learners, 2, P.stored_holdout(spark, path), early_stopping=True)
     assert done.predictions.count() == 80
