@@ -44,6 +44,23 @@ for _way in WAYS:
     _blend_query(_way)
 
 
+_COMBO_ROWS = " UNION ALL ".join(
+    f"SELECT '{B.combo_name(c)}' AS combo, {_way_sql(c, 'mean')} AS score FROM model_scores" for c in _COMBOS
+)
+
+
+@query(
+    "blend_combos",
+    f"""WITH {MODEL_SCORES} SELECT combo, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS best
+      FROM ({_COMBO_ROWS}) GROUP BY combo""",
+)
+def blend_combos(spark, sf):
+    """Every combination that is tried, with the spread of its mean blend over all rows."""
+    rows = B.blend_scores(model_scores(spark, sf), [], MODELS)
+    found = rows.groupBy("combo").agg(F.count("*").alias("n"), F.avg("mean").alias("m"), F.max("mean").alias("b"))
+    return found.select("combo", "n", F.round("m", 6).alias("mean_score"), F.round("b", 6).alias("best"))
+
+
 def _loss_parts(by: str) -> str:
     group = f"GROUP BY {by}" if by else ""
     pre = f"{by}, " if by else ""

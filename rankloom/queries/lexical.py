@@ -85,6 +85,18 @@ def word_ngrams(spark, sf):
     return G.term_counts(turns(spark, sf), KEYS, G.WORDS)
 
 
+_UNIGRAMS = G.Analyzer("word", 1, 1)
+
+
+@query(
+    "term_counts",
+    f"""WITH docs AS (SELECT doc_id, {clean_sql('text')} AS text FROM documents), {counts_sql('docs', 'doc_id', _UNIGRAMS)}
+      SELECT * FROM counts""",
+)
+def term_counts(spark, sf):
+    return G.term_counts(documents(spark, sf), ["doc_id"], _UNIGRAMS)
+
+
 @query(
     "char_ngrams",
     f"""WITH {counts_sql('conversations', _K, G.CHARS)}
