@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import blend as B
 from ..operators import learners as M
 from ..operators.metrics import average_scores, cv_mean, fold_report
-from ..session import settle
+from ..session import packed, settle
 from ..settings import STOP_ROUNDS
 
 FoldTables = Callable[[int], tuple[DataFrame, DataFrame]]
@@ -60,7 +60,7 @@ def train_and_rank(
     Each row is scored once per model; all metrics read those settled scores.
     """
     models = M.fit_folds(features, estimator, folds, early_stopping, rounds, parallelism)
-    scored = settle(M.score_folds(features, models, ("valid", "train")).select(*_COLUMNS))
+    scored = settle(packed(M.score_folds(features, models, ("valid", "train")).select(*_COLUMNS)))
     report = settle(fold_report(scored, "target", "pred", "context_id", "reply_id", gain))
     ranked = None if holdout is None else holdout_scores(models, holdout)
     return Trained(models, scored, report, cv_mean(report, ["ndcg", "mse", "mae"]), ranked)

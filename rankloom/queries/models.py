@@ -17,7 +17,7 @@ from ..operators import lexical as G
 from ..operators.reduce import TruncatedSvd
 from ..plans import features as P
 from ..plans import training as T
-from ..session import scratch_path, settle
+from ..session import packed, scratch_path, settle
 from ..settings import LexicalSettings
 from .embedding import WIDTH, long_form, word_vectors
 from .lexical import KEYS, turns
@@ -96,7 +96,7 @@ def document_features(spark, sf):
     keys = ["context_id", "reply_id"]
     found = P.embedding_features(rows, word_vectors(spark, sf), WIDTH, ["reply"])
     folded = D.assign_folds(rows.select(*keys, "target"), ["reply_id"], 3)
-    return settle(found.join(folded, keys))
+    return settle(packed(found.join(folded, keys)))
 
 
 @query("gbt_oof")
@@ -148,7 +148,7 @@ SMALL_LEXICAL = LexicalSettings(
 @query("lexical_ranker")
 def lexical_ranker(spark, sf):
     """Per-fold report of boosted trees on SVD scores fitted fold by fold."""
-    rows = settle(dialogue_rows(spark, sf))
+    rows = settle(packed(dialogue_rows(spark, sf)))
     path = scratch_path(spark, "lexical")
     P.write_fold_features(spark, path, rows, None, 2, P.LexicalFeatures.fit_folds(rows, 2, SMALL_LEXICAL))
     return T.train_and_rank(P.stored_fold(spark, path), M.boosted("lexical", **SMALL), 2, parallelism=2).report
@@ -157,7 +157,7 @@ def lexical_ranker(spark, sf):
 @query("word_vector_ranker")
 def word_vector_ranker(spark, sf):
     """Per-fold report of early-stopped trees on weighted word vectors."""
-    rows = settle(dialogue_rows(spark, sf))
+    rows = settle(packed(dialogue_rows(spark, sf)))
     vectors = word_vectors(spark, sf)
     path = scratch_path(spark, "word-vectors")
     small = replace(SMALL_LEXICAL, components=None)
@@ -169,7 +169,7 @@ def word_vector_ranker(spark, sf):
 @query("mixed_ranker")
 def mixed_ranker(spark, sf):
     """Per-fold report on SVD scores beside sentence vectors, scaled to unit variance."""
-    rows = settle(dialogue_rows(spark, sf))
+    rows = settle(packed(dialogue_rows(spark, sf)))
     vectors = word_vectors(spark, sf)
     columns = SMALL_LEXICAL.text_columns
 

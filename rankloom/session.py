@@ -79,6 +79,11 @@ def colocate(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_width(df.sparkSession), *keys)
 
 
+def packed(df: DataFrame, *cols: str) -> DataFrame:
+    """Even out partitions by their real size, for tables that are written or read many times."""
+    return df.hint("rebalance", *cols)
+
+
 def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a bare scan that has fewer partitions than there are cores, as a few big files give.
 
