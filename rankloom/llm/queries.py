@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, toxicity
+from . import curves, exact, hilbert, minhash, mixing, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -35,6 +35,32 @@ def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("severity", 6).alias("severity"), (F.col("severity") >= toxicity.LIMIT).alias("toxic"))
 
 
+@query("op4_hilbert_shards")
+def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = hilbert.sharded(docs, hilbert.document_dims(docs), shards=16)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "place")
+
+
+@query(
+    "op7_content_addressed_warc",
+    """
+    WITH pages AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    facts AS (
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+            max(page_id) OVER (PARTITION BY html) AS response FROM pages),
+    typed AS (SELECT *, payload_bytes >= 1000 AND page_id <> response AS again FROM facts)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+        CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN response END AS refers_to
+    FROM typed
+    """,
+)
+def content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(
     "op8_weighted_mix",
     r"""
@@ -76,6 +102,11 @@ def weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query("op9_shifted_curves")
+def shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query(
     "op10_block_naming_dedup",
     r"""
