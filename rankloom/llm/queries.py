@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, exact, hilbert, minhash, mixing, toxicity, warc
+from . import curves, exact, hilbert, minhash, mixing, repair, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -35,6 +36,12 @@ def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("severity", 6).alias("severity"), (F.col("severity") >= toxicity.LIMIT).alias("toxic"))
 
 
+@query("op3_repair_shards")
+def repair_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    found = repair.round_trip(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op4_hilbert_shards")
 def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
