@@ -76,7 +76,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
     rows = _digested(docs, text, doc_id).groupBy("doc_id", "sha", "n_points").agg(F.count("*").alias("copies"))
     rows = stored(joined(rows, ids, ["doc_id", "sha"]), "rows")
     best = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("q"), F.col("doc_id").alias("keep_id"))
-    groups = rows.groupBy("rounds", "name").agg(F.sum("copies").alias("group_size"), F.min(best).alias("best"))
+    # Written first, so that the join deals both sides anew and a hot identity can be split.
+    groups = stored(rows.groupBy("rounds", "name").agg(F.sum("copies").alias("group_size"), F.min(best).alias("best")), "groups")
     held = (F.col("n_points") == -F.col("best.p")) & F.col("doc_id").eqNullSafe(F.col("best.keep_id"))
     each = rows.join(groups, ["rounds", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
