@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, exact, hilbert, minhash, mixing, repair, toxicity, warc
+from . import curves, exact, hilbert, minhash, mixing, pieces, repair, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -50,6 +50,13 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "place")
 
 
+@query("op5_lattice_pieces")
+def lattice_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    vocabulary = pieces.Pieces.load(model or public_tokenizers.path("piece_bpe_32k.model"))
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
 @query(
     "op7_content_addressed_warc",
     """
