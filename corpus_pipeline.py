@@ -6,10 +6,11 @@ again as the next stage's input. The last stage adds token ids.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import exact, minhash, mixing, toxicity
+from rankloom.llm import exact, minhash, mixing, pieces, toxicity
 from rankloom.llm.common import stored, table
 
 
@@ -36,11 +37,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs, stored(taken, "taken"))
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text they decode to."""
+    vocabulary = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    tokens = pieces.encode(docs, vocabulary, keep=["doc_id", "lang", "source", "n_chars"])
+    return pieces.decode(tokens, vocabulary).withColumnRenamed("decoded", "text").withColumn("n_tokens", F.size("ids").cast("long"))
+
+
 STAGES = [
     ("toxicity", reject_toxic),
     ("exact dedup", drop_exact_copies),
     ("near dedup", drop_near_copies),
     ("mix", mix_sources),
+    ("pieces", encode_pieces),
 ]
 
 # The learned toxicity grades and MinHash candidates have no SQL form; tests hold the stages against plain versions.
