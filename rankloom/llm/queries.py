@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, exact, hilbert, minhash, mixing, pieces, repair, toxicity, warc
+from . import curves, exact, hilbert, minhash, mixing, pieces, repair, suffix, toxicity, warc
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -22,7 +22,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_minhash_near_dedup")
+@query(
+    "op1_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS shingle FROM docs),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    shared AS (SELECT row_number() OVER () AS id, list(doc_id) AS docs FROM sets GROUP BY shingle HAVING count(*) > 1),
+    uses AS (SELECT id, unnest(docs) AS doc_id FROM shared),
+    met AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM uses a JOIN uses b ON a.id = b.id AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id),
+    half AS (
+        SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * met.n >= 85 * (p.n + q.n - met.n)),
+    links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept
+    FROM documents d JOIN roots r ON d.doc_id = r.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+    """,
+)
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -57,6 +80,31 @@ def lattice_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
+@query(
+    "op6_repeated_strings",
+    """
+    WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    starts AS (SELECT doc_id, raw, unnest(range(0, octet_length(raw) - 199)) AS pos FROM docs WHERE octet_length(raw) >= 200),
+    windows AS (SELECT doc_id, pos, md5(array_slice(raw, pos + 1, pos + 200)) AS w FROM starts),
+    again AS (SELECT doc_id, pos FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+    steps AS (SELECT *, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM again),
+    runs AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM steps),
+    spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 200 AS b FROM runs GROUP BY doc_id, run),
+    gaps AS (
+        SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+    kept AS (
+        SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+            string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest
+        FROM gaps g JOIN docs d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+    SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+        coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
+    FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
+)
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op7_content_addressed_warc",
     """
