@@ -7,7 +7,9 @@
    which joins most of a group without making its pairs. Then only buckets that still hold several components are
    opened: classes outside a bucket's main component meet the rest of the bucket.
 4. A candidate stays if the sizes allow the similarity and if the share of equal low bits, corrected for chance
-   collisions, is not far below it. Every link left is confirmed by the intersection of the full sets.
+   collisions, is not far below it. In opened buckets two classes must also share one of their rarest shingles, as
+   similar sets do (the prefix filter of set joins), which spares heavily edited copies the comparison with their
+   whole group. Every link left is confirmed by the intersection of the full sets.
 5. Connected components of the links give each document the smallest doc_id that it reaches.
 
 The number of bands follows from the similarity: at the threshold a link is missed by all bands with probability MISS.
@@ -168,20 +170,35 @@ def likely(left: str, right: str, minima: int, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (estimate >= s - SLACK * spread)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
-    pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    one = classes.join(needed, "cid", "left_semi").select("cid", F.col("first.doc_id").alias("of"), F.col("first.mark").alias("mark"))
+def _full_sets(cids: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(cid, names): the whole shingle sets of some classes, cut again from one text each."""
+    one = classes.join(cids.distinct(), "cid", "left_semi").select("cid", F.col("first.doc_id").alias("of"), F.col("first.mark").alias("mark"))
     one = send(stored(one, "needed"), 32)
     texts = docs.join(one, docs["doc_id"].eqNullSafe(one["of"]) & (docs["mark"] == one["mark"])).select("cid", "text")
-    sets = stored(texts.dropDuplicates(["cid"]).mapInArrow(_sets(width), "cid long, names array<long>"), "sets")
+    return stored(texts.dropDuplicates(["cid"]).mapInArrow(_sets(width), "cid long, names array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
     far = pairs.join(sets.select(F.col("cid").alias("b"), F.col("names").alias("right")), "b")
     both = far.join(sets.select(F.col("cid").alias("a"), F.col("names").alias("left")), "a")
     met = F.size(F.array_intersect("left", "right")).cast("long")
     return both.where(met * 100 >= (F.size("left") + F.size("right") - met) * percent).select("a", "b")
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, prefix): of each set so many of its rarest shingles that two similar enough sets must share one.
+
+    Similar sets share at least ``percent`` in a hundred of each; what is left over, and one more, is the prefix.
+    A text with more shingles of its own than that can be similar to no other.
+    """
+    long = sets.select("cid", F.explode("names").alias("name"))
+    rare = long.groupBy("name").agg(F.count("*").alias("df"))
+    ranked = long.join(rare, "name").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "name"))).alias("names"))
+    length = F.size("names") - F.ceil(F.size("names") * percent / 100) + 1
+    return ranked.select("cid", F.slice(F.col("names.name"), F.lit(1), length.cast("int")).alias("prefix"))
+
+
 def _with_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         mine = classes.select(F.col("cid").alias(side), F.struct("n", "bits").alias(f"at_{side}"))
@@ -197,21 +214,25 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     members = stored(flat.join(shared, "key").select("key", "cid", "hub"), "members")
     # Each class beside the smallest class of each of its buckets.
     tried = stored(members.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "tried")
-    near = _with_bits(tried, classes).where(likely("at_a", "at_b", bands * rows, percent)).select("a", "b")
-    first = stored(_confirmed(near, docs, classes, width, percent), "links")
+    near = stored(_with_bits(tried, classes).where(likely("at_a", "at_b", bands * rows, percent)).select("a", "b"), "near")
+    sets = _full_sets(near.select(F.explode(F.array("a", "b")).alias("cid")), docs, classes, width)
+    first = stored(_confirmed(near, sets, percent), "links")
     # Buckets that still hold several components: what is outside the main one meets all others.
     roots = components(first)
     state = members.join(roots, members["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
     state = stored(state, "state")
     main = state.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
     main = main.agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    open_ = stored(state.join(main, "key").join(classes.select("cid", "n", "bits"), "cid"), "open")
+    open_ = stored(state.join(main, "key"), "open")
+    sets = _full_sets(open_.select("cid"), docs, classes, width)
+    open_ = stored(open_.join(classes.select("cid", "n", "bits"), "cid").join(_prefixes(sets, percent), "cid"), "open")
     l, r = open_.where("root <> main").alias("l"), open_.alias("r")
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
     once = (F.col("r.root") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid"))
-    met = l.join(r, apart & once & likely("l", "r", bands * rows, percent))
+    share = F.arrays_overlap("l.prefix", "r.prefix")
+    met = l.join(r, apart & once & likely("l", "r", bands * rows, percent) & share)
     met = met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-    second = _confirmed(met.join(tried, ["a", "b"], "left_anti"), docs, classes, width, percent)
+    second = _confirmed(met.join(tried, ["a", "b"], "left_anti"), sets, percent)
     return first.unionByName(stored(second, "links"))
 
 
