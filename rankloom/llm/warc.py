@@ -2,8 +2,8 @@
 
 An archive is two tables on the shared folder. `payloads` holds the bytes of each different payload once, under its
 SHA-256; `headers` holds the exact header bytes of every record with the digest of its payload. Records are rebuilt by
-joining the two, and read back by parsing the rebuilt bytes: every payload is digested again and must agree with the
-digest it is stored under and with the SHA-1 in the header of its record.
+joining the two, and read back by parsing the rebuilt bytes: every payload is digested again, by two functions, and must
+agree with the digest it is stored under and with the SHA-1 in the header of each record that refers to it.
 
 Of records whose payload is equal and has at least ``least`` bytes, the one with the largest page_id is the response and
 the others are revisits that refer to it; shorter payloads always make a response.
@@ -58,11 +58,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.octet_length(payload).cast("long").alias("size"),
         F.unhex(F.sha2(payload, 256)).alias("digest"), F.sha1(payload).alias("sha1"),
     )
-    stored = pages.select(payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    # Distinct on digest and bytes together: two contents under one digest would show as two rows.
-    stored.groupBy("digest").agg(F.min("payload").alias("payload"), F.max("payload").alias("other")).where(
-        F.when(F.col("payload") == F.col("other"), True).otherwise(F.raise_error(F.lit("one digest stands for two payloads")))
-    ).select("digest", "payload").write.parquet(f"{path}/payloads")
+    store = pages.select(payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    store.groupBy("digest").agg(F.min("payload").alias("payload")).write.parquet(f"{path}/payloads")
     chosen = facts.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("response_id"))
     rows = facts.join(chosen.withColumnRenamed("digest", "key"), F.col("digest") == F.col("key"), "left")
     first = F.col("key").isNull() | F.col("page_id").eqNullSafe(F.col("response_id"))
@@ -86,37 +83,53 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     rows.select("digest", F.encode(F.concat(header, http), "UTF-8").alias("header")).write.parquet(f"{path}/headers")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Rebuild every record: (record, payload); a revisit's record ends after its HTTP header, its payload comes by digest."""
+def _archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Headers of responses, headers of revisits, and payloads that agree with their digest."""
     headers = spark.read.schema("digest binary, header binary").parquet(f"{path}/headers")
     payloads = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
-    whole = headers.join(payloads, "digest", "left")
-    lost = F.col("payload").isNull() | (F.unhex(F.sha2("payload", 256)) != F.col("digest"))
-    whole = whole.withColumn("payload", F.when(lost, F.raise_error(F.lit("payload is lost or damaged")).cast("binary")).otherwise(F.col("payload")))
+    damaged = F.raise_error(F.lit("payload does not agree with its digest")).cast("binary")
+    payloads = payloads.withColumn("payload", F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(damaged))
     revisit = F.decode("header", "UTF-8").contains("\r\nWARC-Type: revisit\r\n")
-    end = F.lit(_END * 2).cast("binary")
-    record = F.when(revisit, F.concat("header", end)).otherwise(F.concat("header", "payload", end))
-    return whole.select(record.alias("record"), "payload")
+    return headers.where(~revisit), headers.where(revisit), payloads
+
+
+def _lost(column: str, kind: str) -> Column:
+    return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.raise_error(F.lit("payload is lost")).cast(kind))
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Every record rebuilt, with its payload's size and SHA-1: (record, head_size, payload_bytes, payload_digest).
+
+    A payload travels to the responses that hold it; revisits, whose record ends after the HTTP header, get the size
+    and digest of the stored payload alone.
+    """
+    responses, revisits, payloads = _archive(spark, path)
+    end, head = F.lit(_END * 2).cast("binary"), F.octet_length("header").alias("head_size")
+    whole = responses.join(payloads, "digest", "left").withColumn("payload", _lost("payload", "binary"))
+    whole = whole.select(F.concat("header", "payload", end).alias("record"), head, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    facts = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    short = revisits.join(facts, "digest", "left")
+    short = short.select(F.concat("header", end).alias("record"), head, _lost("payload_bytes", "long").alias("payload_bytes"), "payload_digest")
+    return whole.unionByName(short)
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """Fields of the rebuilt records, with length and digest taken from the payload itself."""
-    # A header holds no blank line; what follows the first one is the block.
-    head = F.substring_index(F.decode("record", "UTF-8"), _END * 2, 1)
-    rows = records.select(head.alias("head"), F.col("record"), F.col("payload"), F.sha1("payload").alias("sha1"))
+    """Fields of the rebuilt records; a record whose bytes do not agree with its header is an error."""
+    head = F.substring_index(F.decode(F.substring("record", F.lit(1), F.col("head_size")), "UTF-8"), _END * 2, 1)
+    rows = records.select(head.alias("head"), F.octet_length("record").alias("record_size"), "payload_bytes", "payload_digest")
 
     def value(name: str) -> Column:
         found = F.regexp_extract("head", rf"(?m)^{name}: (.*?)\r?$", 1)
         return F.when(F.regexp_like("head", F.lit(rf"(?m)^{name}: ")), found)
 
-    kind, size = value("WARC-Type"), F.octet_length("payload").cast("long")
-    body = F.octet_length("record") - F.octet_length("head") - 8
-    bad = (value("WARC-Payload-Digest") != F.concat(F.lit("sha1:"), F.col("sha1"))) | (value("Content-Length").cast("long") != body)
+    # A block lies between the blank line after the header and the two line ends after the record.
+    body = F.col("record_size") - F.octet_length("head") - 8
+    bad = (value("WARC-Payload-Digest") != F.concat(F.lit("sha1:"), F.col("payload_digest"))) | (value("Content-Length").cast("long") != body)
     return rows.select(
         value("Page-Number").cast("long").alias("page_id"),
-        size.alias("payload_bytes"),
-        F.when(bad, F.raise_error(F.lit("record does not agree with its header")).cast("string")).otherwise(F.col("sha1")).alias("payload_digest"),
-        kind.alias("record_type"),
+        "payload_bytes",
+        F.when(bad, F.raise_error(F.lit("record does not agree with its header")).cast("string")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        value("WARC-Type").alias("record_type"),
         value("Refers-To-Page-Number").cast("long").alias("refers_to"),
         value("WARC-Target-URI").alias("url"),
     )
