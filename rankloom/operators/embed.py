@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_tokens, drop_tokens, join_tokens, key_prefix, strip_accents
-from ..session import BROADCAST_BYTES, broadcast_if_small, colocate, table_bytes
+from ..session import BROADCAST_BYTES, broadcast_if_small, colocate, settle, table_bytes
 
 
 def zeros(width: int) -> Column:
@@ -23,8 +23,11 @@ def last_wins(df: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
 
 
 def with_lemma(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:
-    """Replace each token by its lemma where the dictionary ``(token, lemma)`` has one."""
-    pairs = lemmas.select(F.col("token").alias("__t"), F.col("lemma").alias("__l"))
+    """Replace each token by its lemma where the dictionary ``(token, lemma)`` has one.
+
+    Of several lemmas of a token the smallest counts, so tokens never multiply.
+    """
+    pairs = lemmas.where("token is not null and lemma is not null").groupBy(F.col("token").alias("__t")).agg(F.min("lemma").alias("__l"))
     pairs = broadcast_if_small(pairs, F.octet_length("__t") + F.octet_length("__l") + 64)
     return (
         tokens.join(pairs, F.col(token) == F.col("__t"), "left")
@@ -57,6 +60,20 @@ def clean_tokens(
     return spread.select(*keys).join(joined, keys, "left").select(*keys, F.coalesce("__c", F.lit("")).alias(text))
 
 
+def clean_token_columns(df: DataFrame, cols: Sequence[str], lemmas: DataFrame, garbage: Iterable[str] = ()) -> DataFrame:
+    """Token-mode clean with a dictionary of several text columns at once; every row stays, whatever its keys are.
+
+    Rows are settled under a number of their own, their texts are unpivoted and cut once, and the cleaned columns
+    go back by that number.
+    """
+    cols = list(cols)
+    rows = settle(df.withColumn("__row", F.monotonically_increasing_id()))
+    cleaned = clean_tokens(rows.unpivot(["__row"], cols, "__column", "__text"), ["__row", "__column"], "__text", lemmas, garbage)
+    wide = cleaned.groupBy("__row").agg(*[F.max(F.when(F.col("__column") == c, F.col("__text"))).alias(f"__c{i}") for i, c in enumerate(cols)])
+    back = rows.drop(*cols).join(wide.withColumnsRenamed({f"__c{i}": c for i, c in enumerate(cols)}), "__row")
+    return back.select(*df.columns)
+
+
 def prepare_word_vectors(vectors: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """``(word, vector)`` from ``(ordinal, word, vector)``: prefix, no accents, lemma, last one wins."""
     keyed = vectors.withColumn("word", strip_accents(key_prefix(F.col("word"))))
@@ -199,15 +216,18 @@ def column_weighted_vectors(
 
 
 def bind_columns(blocks: Sequence[tuple[str, DataFrame]], keys: Sequence[str], out: str = "features") -> DataFrame:
-    """Join row-aligned vector blocks on their key and put them end to end.
+    """Put row-aligned vector blocks end to end, by key; null keys meet like any other.
 
-    All blocks share the key, so each is shuffled by it at most once.
+    A row that some block lacks gets zeros there. All blocks are grouped by the key once. Keys are unique in a block.
     """
     keys = list(keys)
-    joined, names = None, []
+    stacked = None
     for i, (col, block) in enumerate(blocks):
-        name = f"__b{i}"
-        part = block.select(*keys, F.col(col).alias(name))
-        joined = part if joined is None else joined.join(part, keys)
-        names.append(name)
-    return joined.select(*keys, F.concat(*names).alias(out))
+        part = block.select(*keys, F.lit(i).alias("__i"), F.col(col).alias("__v"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    # One width for each block.
+    widths = {r["__i"]: r["w"] for r in stacked.groupBy("__i").agg(F.max(F.size("__v")).alias("w")).collect()}
+    picked = [
+        F.coalesce(F.first(F.when(F.col("__i") == i, F.col("__v")), ignorenulls=True), zeros(widths.get(i, 0))) for i in range(len(blocks))
+    ]
+    return stacked.groupBy(*keys).agg(F.concat(*picked).alias(out))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from pyspark import SparkContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -68,14 +69,21 @@ class TrimmedBoost:
     model: GBTRegressionModel
     kept: int
 
+    def trimmed(self) -> GBTRegressionModel:
+        """An ensemble of the kept trees alone, which scores a row in one function whatever their number."""
+        whole = self.model._java_obj
+        jvm, trees = SparkContext._active_spark_context._jvm, whole.trees()
+        kept = SparkContext._active_spark_context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, self.kept)
+        for i in range(self.kept):
+            kept[i] = trees[i]
+        weights = SparkContext._active_spark_context._gateway.new_array(jvm.double, self.kept)
+        for i, w in enumerate(self.model.treeWeights[: self.kept]):
+            weights[i] = float(w)
+        java = jvm.org.apache.spark.ml.regression.GBTRegressionModel(whole.uid() + "_trimmed", kept, weights, whole.numFeatures())
+        return GBTRegressionModel(java).setFeaturesCol(self.model.getFeaturesCol())
+
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        names = []
-        for i, tree in enumerate(self.model.trees[: self.kept]):
-            tree.setFeaturesCol(self.model.getFeaturesCol()).setPredictionCol(f"__t{i}")
-            df = tree.transform(df)
-            names.append(f"__t{i}")
-        total = sum((F.col(n) * F.lit(float(w)) for n, w in zip(names, self.model.treeWeights)), F.lit(0.0))
-        return df.withColumn(out, total).drop(*names)
+        return self.trimmed().setPredictionCol(out).transform(df)
 
 
 def fit_early_stopped(

@@ -8,10 +8,10 @@ rows; ``vector_features`` gives the same numbers as Spark ML vectors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -49,11 +49,17 @@ def stack_columns(df: DataFrame, ids: Sequence[str], text_cols: Sequence[str]) -
     return df.unpivot(list(ids), list(text_cols), "column", "text")
 
 
+def _joined_words(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.concat_ws(" ", F.slice("__g1", i, F.lit(n)))
+
+
 def _word_grams(df: DataFrame, analyzer: Analyzer, text: str) -> tuple[DataFrame, list[str]]:
     """Add one array column per n-gram length, over tokens of two or more characters."""
     df = df.withColumn("__g1", F.filter(word_tokens(F.col(text)), lambda t: F.length(t) > 1))
     for n in range(max(2, analyzer.lo), analyzer.hi + 1):
-        df = NGram(n=n, inputCol="__g1", outputCol=f"__g{n}").transform(df)
+        starts = F.sequence(F.lit(1), F.size("__g1") - n + 1)
+        grams = F.transform(starts, _joined_words(n))
+        df = df.withColumn(f"__g{n}", F.when(F.size("__g1") >= n, grams).otherwise(F.array().cast("array<string>")))
     return df, [f"__g{n}" for n in range(analyzer.lo, analyzer.hi + 1)]
 
 
@@ -129,6 +135,20 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.log((n_docs + 1).cast("double") / (df + 1)) + 1.0
 
 
+def _within_reach(totals: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The terms that can be among the ``n`` most frequent: those with at least the total of the n-th.
+
+    Terms are counted per total first, so a window only sees the different totals.
+    """
+    sizes = totals.groupBy(*by, "total").agg(F.count("*").alias("__n"))
+    above = F.sum("__n").over(W.partitionBy(*by).orderBy(F.desc("total")).rowsBetween(W.unboundedPreceding, -1))
+    least = sizes.withColumn("__above", F.coalesce(above, F.lit(0))).where(F.col("__above") < n)
+    # One row for each group.
+    least = least.groupBy(*by).agg(F.min("total").alias("__least"))
+    joined = totals.join(F.broadcast(least), list(by)) if by else totals.crossJoin(F.broadcast(least))
+    return joined.where(F.col("total") >= F.col("__least")).drop("__least")
+
+
 def top_terms(
     totals: DataFrame, max_features: int | None = MAX_FEATURES, by: Sequence[str] = (), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -137,7 +157,10 @@ def top_terms(
     The totals are settled first, since the size check and the numbering both read
     them, and so is the choice: both are far smaller than the texts they come from.
     """
-    ranked = number_within(settle(totals), by, {"__rank": [F.col("total").desc(), F.col("term").asc()]}, hot_rows)
+    order, totals = [F.col("total").desc(), F.col("term").asc()], settle(totals)
+    if max_features is not None:
+        totals = _within_reach(totals, by, max_features)
+    ranked = number_within(totals, by, {"__rank": order}, hot_rows)
     if max_features is not None:
         ranked = ranked.where(F.col("__rank") <= max_features)
     return settle(ranked.withColumn("idx", F.col("__rank") - 1).drop("__rank"))
@@ -191,6 +214,8 @@ def fold_vocabularies(
         for f in range(k)
     ]
     sums = counts.groupBy("term").agg(F.count("*").alias("__df"), F.sum("tf").alias("__total"), F.array(*own).alias("__own"))
+    # A term's train rows are some of its rows: what is too rare in all is too rare in each fold.
+    sums = sums.where(F.col("__df") >= min_df)
     rest = sums.select("term", "__df", "__total", F.inline("__own")).select(
         "fold",
         "term",

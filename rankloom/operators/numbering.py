@@ -80,7 +80,7 @@ def number_within(
     if keys:
         cold, hot = split_hot(df, keys, hot_rows)
     else:
-        large = not df.select(F.lit(1)).offset(hot_rows).limit(1).isEmpty()
+        large = df.count() > hot_rows
         cold, hot = (None, df) if large else (df, None)
     if cold is not None:
         for name, order in orders.items():

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as X
-from ..operators.embed import clean_tokens
+from ..operators.embed import clean_token_columns
+from ..operators.numbering import number_within
+from ..session import settle
 from ..settings import TEXT_COLUMNS
 from ..sources import delimited as S
 
-KEYS = ("context_id", "reply_id")
-
-
 def prepare(
     df: DataFrame,
     text_cols: Iterable[str] = TEXT_COLUMNS,
@@ -46,9 +45,14 @@ def prepare(
             return X.join_tokens(X.drop_tokens(X.bare_tokens(c), garbage))
 
         return X.clean_columns(df, text_cols, tidy)
-    for c in text_cols:
-        df = df.drop(c).join(clean_tokens(df, KEYS, c, lemmas, garbage), list(KEYS)).select(*df.columns)
-    return df
+    return clean_token_columns(df, text_cols, lemmas, garbage)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``row_id`` 0 … n-1 in the order of the input, in place of ``place``."""
+    # Settled, so that the numbers of lines inside a split stay as they were when they are read again.
+    rows = number_within(settle(df), [], {"row_id": [F.col("place")]})
+    return rows.withColumn("row_id", F.col("row_id") - 1).drop("place")
 
 
 def prepare_files(spark: SparkSession, train: str, test: str, out: str, text_cols: Sequence[str] = TEXT_COLUMNS) -> tuple[DataFrame, DataFrame]:
@@ -57,12 +61,11 @@ def prepare_files(spark: SparkSession, train: str, test: str, out: str, text_col
     Parquet is what later steps read; it is written once and the other forms come from it.
     """
     tables = {
-        "train": prepare(S.read_tsv(spark, train, S.LABELLED), text_cols),
-        "test": prepare(S.read_tsv_lenient(spark, test, S.UNLABELLED), text_cols),
+        "train": prepare(numbered(S.read_tsv(spark, train, S.LABELLED, place="place")), text_cols),
+        "test": prepare(numbered(S.read_tsv_lenient(spark, test, S.UNLABELLED, place="place")), text_cols),
     }
     done = {}
     for name, df in tables.items():
-        df = df.withColumn("row_id", F.monotonically_increasing_id())
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         done[name] = spark.read.parquet(f"{out}/{name}")
         S.write_text_lines(done[name], f"{out}/{name}_text", "row_id", text_cols, mode="overwrite")

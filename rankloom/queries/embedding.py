@@ -99,15 +99,15 @@ def last_wins(spark, sf):
 
 
 _RAW_WORDS = """raw_words AS (
-  SELECT vec_id AS ordinal, w.word || '_' || label AS word, embedding[1] AS head
+  SELECT vec_id AS ordinal, w.word || '_' || label AS word, embedding
   FROM embeddings JOIN words w ON w.idx = vec_id // 3)"""
 
 
 @query(
     "prepare_word_vectors",
     f"""WITH {TURNS}, {_WORD_VECTORS}, {_RAW_WORDS}
-      SELECT strip_accents(split_part(word, '_', 1)) AS word, round(CAST(arg_max(head, ordinal) AS DOUBLE), 6) AS head
-      FROM raw_words GROUP BY 1""",
+      SELECT word, CAST(unnest(range(64)) AS INTEGER) AS pos, round(CAST(unnest(e) AS DOUBLE), 6) + 0 AS value
+      FROM (SELECT strip_accents(split_part(word, '_', 1)) AS word, arg_max(embedding, ordinal) AS e FROM raw_words GROUP BY 1)""",
 )
 def prepare_word_vectors(spark, sf):
     """Three tagged spellings of each word: the last one in file order stays."""
@@ -120,7 +120,7 @@ def prepare_word_vectors(spark, sf):
     )
     tagged = raw.join(words, "idx").withColumn("word", F.concat_ws("_", "word", "label"))
     ready = E.prepare_word_vectors(tagged.select("ordinal", "word", "vector"))
-    return ready.select("word", F.round(F.col("vector")[0], 6).alias("head"))
+    return long_form(ready, ["word"])
 
 
 def text_feature_rows(spark, sf):

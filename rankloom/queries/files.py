@@ -140,7 +140,8 @@ def ranked_file(spark, sf):
 @query(
     "feature_store",
     f"""WITH {fold_sql('embeddings', 'vec_id', 4)} SELECT vec_id, CAST(2 AS INTEGER) AS fold, 'train' AS role,
-      round(CAST(embedding[1] AS DOUBLE), 6) AS head FROM folded WHERE fold <> 2""",
+      CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+      FROM folded WHERE fold <> 2""",
 )
 def feature_store(spark, sf):
     """One fold's train rows read from a store of all folds and roles."""
@@ -148,7 +149,8 @@ def feature_store(spark, sf):
     rows = D.assign_folds(table(spark, sf, "embeddings").select("vec_id", "embedding"), ["vec_id"], 4)
     stores.write_features(D.fold_roles(rows, 4), path)
     back = stores.read_features(spark, path, 2, "train")
-    return back.select("vec_id", "fold", "role", F.round(F.col("embedding")[0].cast("double"), 6).alias("head"))
+    rows = back.select("vec_id", "fold", "role", F.posexplode("embedding").alias("pos", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query("fold_store", f"WITH {fold_sql('documents', 'doc_id', 10)} SELECT doc_id, fold FROM folded")
@@ -159,8 +161,8 @@ def fold_store(spark, sf):
     def create():
         return D.assign_folds(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 10)
 
-    stores.load_or_create_folds(spark, path, create)
-    return stores.load_or_create_folds(spark, path, create)
+    stores.load_or_create_folds(spark, path, create, 10)
+    return stores.load_or_create_folds(spark, path, create, 10)
 
 
 @query("model_store", _OOF)

@@ -158,7 +158,7 @@ def tfidf_word(spark, sf):
     return word_weights(spark, sf).select(*KEYS, "term", F.round("weight", 6).alias("weight"))
 
 
-_CHAR_WEIGHTS = f"""{TURNS}, {counts_sql('turns', _K, G.CHARS)}, {vocab_sql('counts', 'turns', 3000)},
+_CHAR_WEIGHTS = f"""{TURNS}, {counts_sql('turns', _K, G.CHARS)}, {vocab_sql('counts', 'turns', 200_000)},
 {tfidf_sql('counts', 'vocab', _K)}"""
 
 
@@ -166,26 +166,26 @@ _CHAR_WEIGHTS = f"""{TURNS}, {counts_sql('turns', _K, G.CHARS)}, {vocab_sql('cou
 def tfidf_char(spark, sf):
     docs = turns(spark, sf)
     counts = G.term_counts(docs, KEYS, G.CHARS)
-    weights = G.tfidf(counts, G.vocabulary(counts, docs, max_features=3000), KEYS)
+    weights = G.tfidf(counts, G.vocabulary(counts, docs), KEYS)
     return weights.select(*KEYS, "term", F.round("weight", 6).alias("weight"))
 
 
 @query(
     "count_char",
-    f"""WITH {TURNS}, {counts_sql('turns', _K, G.CHARS_SHORT)}, {vocab_sql('counts', 'turns', 2000)}
+    f"""WITH {TURNS}, {counts_sql('turns', _K, G.CHARS_SHORT)}, {vocab_sql('counts', 'turns', 200_000)}
       SELECT conv_id, turn, idx, CAST(tf AS DOUBLE) AS weight FROM counts JOIN vocab USING (term)""",
 )
 def count_char(spark, sf):
     docs = turns(spark, sf)
     counts = G.term_counts(docs, KEYS, G.CHARS_SHORT)
-    vocab = G.vocabulary(counts, docs, max_features=2000)
+    vocab = G.vocabulary(counts, docs)
     return G.count_weights(counts, vocab, KEYS).select(*KEYS, "idx", "weight")
 
 
 @query(
     "feature_union",
-    f"""WITH {TURNS}, {counts_sql('turns', _K, G.CHARS_SHORT, 'char_counts')}, {vocab_sql('char_counts', 'turns', 2000, 'char_vocab')},
-      {counts_sql('turns', _K, G.WORDS, 'word_counts')}, {vocab_sql('word_counts', 'turns', 2000, 'word_vocab')},
+    f"""WITH {TURNS}, {counts_sql('turns', _K, G.CHARS_SHORT, 'char_counts')}, {vocab_sql('char_counts', 'turns', 200_000, 'char_vocab')},
+      {counts_sql('turns', _K, G.WORDS, 'word_counts')}, {vocab_sql('word_counts', 'turns', 200_000, 'word_vocab')},
       {tfidf_sql('word_counts', 'word_vocab', _K, 'word_weights')}
       SELECT conv_id, turn, 'char' AS block, idx, CAST(tf AS DOUBLE) AS weight FROM char_counts JOIN char_vocab USING (term)
       UNION ALL SELECT conv_id, turn, 'word', idx, round(weight, 6) FROM word_weights""",
@@ -197,8 +197,8 @@ def feature_union(spark, sf):
     words = G.term_counts(docs, KEYS, G.WORDS)
     both = G.feature_union(
         {
-            "char": G.count_weights(chars, G.vocabulary(chars, docs, max_features=2000), KEYS),
-            "word": G.tfidf(words, G.vocabulary(words, docs, max_features=2000), KEYS),
+            "char": G.count_weights(chars, G.vocabulary(chars, docs), KEYS),
+            "word": G.tfidf(words, G.vocabulary(words, docs), KEYS),
         }
     )
     return both.select(*KEYS, "block", "idx", F.round("weight", 6).alias("weight"))
@@ -226,7 +226,7 @@ fold_vocab AS (
          ln((1 + n) / (1 + df)) + 1 AS idf
   FROM (SELECT fit, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM counts JOIN fits ON fold <> fit GROUP BY fit, term)
   JOIN (SELECT fit, CAST(count(*) AS DOUBLE) AS n FROM folded JOIN fits ON fold <> fit GROUP BY fit) USING (fit)
-  WHERE df >= 2 AND df <= CAST(0.9 AS DOUBLE) * n QUALIFY idx < 1000)"""
+  WHERE df >= 2 AND df <= CAST(0.9 AS DOUBLE) * n QUALIFY idx < 200000)"""
 
 
 def fold_counts(spark, sf):
@@ -237,7 +237,7 @@ def fold_counts(spark, sf):
 @query("fold_vocabularies", f"WITH {_FOLD_COUNTS} SELECT fold, term, df, total, idx, round(idf, 6) AS idf FROM fold_vocab")
 def fold_vocabularies(spark, sf):
     docs, counts = fold_counts(spark, sf)
-    vocab = G.fold_vocabularies(counts, docs, FOLDS, max_features=1000)
+    vocab = G.fold_vocabularies(counts, docs, FOLDS)
     return vocab.select("fold", "term", "df", "total", "idx", F.round("idf", 6).alias("idf"))
 
 
@@ -250,6 +250,6 @@ def fold_vocabularies(spark, sf):
 def tfidf_fold_fit(spark, sf):
     """Valid rows weighted by the vocabulary of their fold's train rows."""
     docs, counts = fold_counts(spark, sf)
-    vocab = G.fold_vocabularies(counts, docs, FOLDS, max_features=1000)
+    vocab = G.fold_vocabularies(counts, docs, FOLDS)
     weights = G.tfidf(counts, vocab, [*CELL, "fold"], on=["fold", "term"])
     return weights.select(*CELL, "fold", "term", F.round("weight", 6).alias("weight"))

@@ -83,10 +83,9 @@ def truncated_svd(spark, sf):
     """Scores of the conversations on the leading components of their word weights."""
     docs = turns(spark, sf)
     counts = G.term_counts(docs, KEYS, G.WORDS)
-    vocab = G.vocabulary(counts, docs, max_features=2000)
-    vectors = G.Vectorizer.from_vocabulary(G.WORDS, vocab).transform(docs, "text", "v")
-    svd = TruncatedSvd.fit(vectors, "v", 8)
-    return long_form(svd.project(G.tfidf(counts, vocab, KEYS), docs, KEYS), KEYS)
+    weights = settle(G.tfidf(counts, G.vocabulary(counts, docs), KEYS))
+    svd = TruncatedSvd.fit(weights, KEYS, 8)
+    return long_form(svd.project(weights, docs, KEYS), KEYS)
 
 
 def document_features(spark, sf):

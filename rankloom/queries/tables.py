@@ -33,14 +33,14 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("reply_id"),
         F.col("text").alias("reply"),
         label.alias("label"),
-        (F.least("n_chars", F.lit(1000)) / 1000.0).alias("confidence"),
+        (F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("confidence"),
     )
 
 
 PAIRS = """pairs AS (
   SELECT CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS context_id, d.doc_id AS reply_id, d.text AS reply,
          CASE WHEN quality = 1 AND toxic = 0 THEN 'good' WHEN quality = 1 AND toxic = 1 THEN 'neutral' ELSE 'bad' END AS label,
-         CAST(least(n_chars, 1000) AS DOUBLE) / 1000 AS confidence
+         n_chars / (n_chars + CAST(1000 AS DOUBLE)) AS confidence
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest table that is sent whole to every executor.
-BROADCAST_BYTES = 1 << 30
+BROADCAST_BYTES = 256 << 20
 
 # Session options the jobs are written for. A cluster may set its own
 # spark.sql.shuffle.partitions; nothing here depends on a particular count.

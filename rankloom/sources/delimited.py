@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import NA_LITERALS, fill_missing, missing
+from ..session import settle, shuffle_width
+from .vectors import placed_lines
 
 UNLABELLED = T.StructType(
     [
@@ -25,10 +27,11 @@ LABELLED = T.StructType(
 )
 
 
-def _tsv(spark: SparkSession, path: str, schema: T.StructType, strict: bool, literals: Sequence[str]) -> DataFrame:
+def _tsv(spark: SparkSession, path: str, schema: T.StructType, strict: bool, literals: Sequence[str], place: str | None) -> DataFrame:
     width = len(schema)
     cells = F.split("value", "\t", -1)
-    rows = spark.read.text(path).where(F.col("value") != "").select("value", cells.alias("cells"))
+    lines = placed_lines(spark, path).where(F.col("value") != "")
+    rows = lines.select("value", cells.alias("cells"), F.struct("file", "block", "line").alias("place"))
     fits = F.size("cells") <= width
     if strict:
         message = F.concat(F.lit(f"expected at most {width} fields: "), F.col("value"))
@@ -43,19 +46,22 @@ def _tsv(spark: SparkSession, path: str, schema: T.StructType, strict: bool, lit
             value = value.cast(field.dataType) if strict else value.try_cast(field.dataType)
         return value.alias(field.name)
 
-    return rows.select(*[column(i, f) for i, f in enumerate(schema)])
+    return rows.select(*[column(i, f) for i, f in enumerate(schema)], *([F.col("place").alias(place)] if place else []))
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType = LABELLED, literals: Sequence[str] = NA_LITERALS) -> DataFrame:
-    """Tab-separated, no header, quotes literal; a row with too many fields or a bad number is an error."""
-    return _tsv(spark, path, schema, True, literals)
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType = LABELLED, literals: Sequence[str] = NA_LITERALS, place: str | None = None) -> DataFrame:
+    """Tab-separated, no header, quotes literal; a row with too many fields or a bad number is an error.
+
+    ``place`` names a column for the place of each line in the input, to order or number rows by.
+    """
+    return _tsv(spark, path, schema, True, literals, place)
 
 
 def read_tsv_lenient(
-    spark: SparkSession, path: str, schema: T.StructType = UNLABELLED, literals: Sequence[str] = NA_LITERALS
+    spark: SparkSession, path: str, schema: T.StructType = UNLABELLED, literals: Sequence[str] = NA_LITERALS, place: str | None = None
 ) -> DataFrame:
     """As ``read_tsv``, but rows with too many fields are dropped; short rows are padded with null in both."""
-    return _tsv(spark, path, schema, False, literals)
+    return _tsv(spark, path, schema, False, literals, place)
 
 
 def text_columns(schema: T.StructType) -> list[str]:
@@ -88,10 +94,12 @@ def write_text_lines(df: DataFrame, path: str, row_id: str, columns: Sequence[st
     df.select(row_id, *columns).write.mode(mode).parquet(f"{path}/rows")
     rows = df.sparkSession.read.parquet(f"{path}/rows")
     broken = F.concat(F.lit("line break in text of row "), F.col(row_id).cast("string"))
+    # Sorted once and settled; every column is then written from the same partitions, which follow each other.
+    placed = settle(rows.repartitionByRange(shuffle_width(rows.sparkSession), row_id).sortWithinPartitions(row_id))
     for c in columns:
         line = F.coalesce(F.col(c), F.lit(""))
         safe = F.when(line.rlike(r"[\r\n]"), F.raise_error(broken).cast("string")).otherwise(line)
-        rows.orderBy(row_id).select(safe.alias("value")).write.mode(mode).text(f"{path}/{c}")
+        placed.select(safe.alias("value")).write.mode(mode).text(f"{path}/{c}")
 
 
 def write_submission(ranked: DataFrame, path: str, mode: str = "errorifexists") -> None:

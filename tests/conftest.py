@@ -17,7 +17,6 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
-        spark__sql__codegen__wholeStage="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -98,3 +98,23 @@ def test_bind(spark, rows):
     a = spark.createDataFrame([(1, [1.0])], "id int, v array<double>")
     b = spark.createDataFrame([(1, [2.0, 3.0])], "id int, w array<double>")
     assert rows(E.bind_columns([("v", a), ("w", b)], ["id"])) == [(1, [1.0, 2.0, 3.0])]
+
+
+def test_token_mode_keeps_every_row(spark):
+    """Four columns at once, a dictionary with repeated tokens, rows with null and repeated keys."""
+    from rankloom.operators.embed import clean_token_columns
+
+    lemmas = spark.createDataFrame([("cats", "kat"), ("cats", "cat"), ("dogs", "dog"), (None, "x")], "token string, lemma string")
+    rows = [(None, 1, "Cats, dogs!", "", "a bb", None), (None, 1, "Cats, dogs!", "", "a bb", None), (2, 2, "éte", "dogs dogs", "z", "cats")]
+    df = spark.createDataFrame(rows, "k long, n long, a string, b string, c string, d string")
+    got = sorted(map(tuple, clean_token_columns(df, ["a", "b", "c", "d"], lemmas).collect()), key=repr)
+    assert got == sorted([(None, 1, "cat dog", "", "bb", "")] * 2 + [(2, 2, "ete", "dog dog", "", "cat")], key=repr)
+
+
+def test_bound_columns_keep_null_and_missing_keys(spark):
+    from rankloom.operators.embed import bind_columns
+
+    a = spark.createDataFrame([(1, [1.0]), (None, [2.0])], "k long, v array<double>")
+    b = spark.createDataFrame([(1, [3.0, 4.0]), (5, [5.0, 6.0])], "k long, w array<double>")
+    got = {r.k: r.features for r in bind_columns([("v", a), ("w", b)], ["k"]).collect()}
+    assert got == {1: [1.0, 3.0, 4.0], None: [2.0, 0.0, 0.0], 5: [0.0, 5.0, 6.0]}

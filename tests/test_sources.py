@@ -104,3 +104,27 @@ def test_folds_are_loaded_when_they_exist(spark, tmp_path):
     first = stores.load_or_create_folds(spark, path, create).collect()
     assert sorted(first) == sorted(stores.load_or_create_folds(spark, path, create).collect())
     assert calls == [1]
+
+
+def test_word_vectors_follow_the_files_as_listed(spark, tmp_path):
+    """A small first file and a large second one: Spark reads the large one first, the order is still that of the list."""
+    small, large = tmp_path / "a.vec", tmp_path / "b.vec"
+    small.write_text("3 2\nw 1 1\n10 20 30\n")
+    large.write_text("".join(f"x{i} 0 0\n" for i in range(5000)) + "w 2 2\n")
+    got = V.read_word_vectors(spark, [str(small), str(large)], 2)
+    assert got.count() == 5003
+    from rankloom.operators.embed import last_wins
+
+    kept = {r.word: r.vector for r in last_wins(got, "word", "vector", "ordinal").where("word in ('w', '10')").collect()}
+    assert kept == {"w": [2.0, 2.0], "10": [20.0, 30.0]}
+
+
+def test_short_vector_lines_are_errors(spark, tmp_path):
+    (tmp_path / "v").write_text("1 2\n")
+    with pytest.raises(Exception, match="fewer than 3 numbers"):
+        V.read_text_vectors(spark, str(tmp_path / "v"), 3).collect()
+
+
+def test_keyed_vectors(spark, tmp_path):
+    (tmp_path / "v").write_text("7 1 2\n5 3 4\n")
+    assert {r.row_id: r.vector for r in V.read_keyed_vectors(spark, str(tmp_path / "v"), 2).collect()} == {7: [1.0, 2.0], 5: [3.0, 4.0]}
