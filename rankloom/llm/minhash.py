@@ -7,9 +7,10 @@
    which joins most of a group without making its pairs. Then only buckets that still hold several components are
    opened: classes outside a bucket's main component meet the rest of the bucket.
 4. A candidate stays if the sizes allow the similarity and if the share of equal low bits, corrected for chance
-   collisions, is not far below it. In opened buckets two classes must also share one of their rarest shingles, as
-   similar sets do (the prefix filter of set joins), which spares heavily edited copies the comparison with their
-   whole group. Every link left is confirmed by the intersection of the full sets.
+   collisions, is not far below it. In opened buckets the shingles that one class alone has bound the similarity from
+   above, and two classes must share one of their rarest shingles, as similar sets do (the prefix filter of set
+   joins); both spare heavily edited copies the comparison with their whole group and lose no link. Every link left
+   is confirmed by the intersection of the full sets.
 5. Connected components of the links give each document the smallest doc_id that it reaches.
 
 The number of bands follows from the similarity: at the threshold a link is missed by all bands with probability MISS.
@@ -187,16 +188,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, prefix): of each set so many of its rarest shingles that two similar enough sets must share one.
+    """(cid, own, prefix): how many shingles no other set has, and so many of the rarest that similar sets must share one.
 
     Similar sets share at least ``percent`` in a hundred of each; what is left over, and one more, is the prefix.
-    A text with more shingles of its own than that can be similar to no other.
+    Sets with more shingles of their own than that are similar to no other and are left out.
     """
     long = sets.select("cid", F.explode("names").alias("name"))
     rare = long.groupBy("name").agg(F.count("*").alias("df"))
     ranked = long.join(rare, "name").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "name"))).alias("names"))
     length = F.size("names") - F.ceil(F.size("names") * percent / 100) + 1
-    return ranked.select("cid", F.slice(F.col("names.name"), F.lit(1), length.cast("int")).alias("prefix"))
+    own = F.size(F.filter("names", lambda x: x["df"] == 1))
+    found = ranked.select("cid", own.alias("own"), F.size("names").alias("n"), F.slice(F.col("names.name"), F.lit(1), length.cast("int")).alias("prefix"))
+    return found.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent).drop("n")
+
+
+def _overlap_possible(percent: int) -> Column:
+    """Whether two sets can be similar enough: what only one of them has is never shared and always in the union."""
+    mine, other = F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own")
+    return F.least(mine, other) * 100 >= (F.col("l.own") + F.col("r.own") + F.greatest(mine, other)) * percent
 
 
 def _with_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -229,7 +238,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     l, r = open_.where("root <> main").alias("l"), open_.alias("r")
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
     once = (F.col("r.root") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid"))
-    share = F.arrays_overlap("l.prefix", "r.prefix")
+    share = _overlap_possible(percent) & F.arrays_overlap("l.prefix", "r.prefix")
     met = l.join(r, apart & once & likely("l", "r", bands * rows, percent) & share)
     met = met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
     second = _confirmed(met.join(tried, ["a", "b"], "left_anti"), sets, percent)
