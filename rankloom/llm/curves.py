@@ -189,14 +189,15 @@ def nearest(
         one = one.repartitionByRange(blocks, "key", "id").select("id", "v", "asks", F.lit(o).alias("order"), F.spark_partition_id().alias("block"))
         placed = one if placed is None else placed.unionByName(one)
     placed = stored(placed, "placed")
-    # Partitions of a union count on from one order to the next.
-    last = placed.groupBy("order").agg(F.max("block").alias("last"), F.min("block").alias("first"))
-    placed = placed.join(F.broadcast(last), "order")  # one row for each order
-    total = F.col("last") - F.col("first") + 1
-    reach = F.ceil((total * share - 1) / 2)
+    # Partitions of a union count on from one order to the next; whatever their number, they make ``blocks`` blocks.
+    ends = placed.groupBy("order").agg(F.max("block").alias("last"), F.min("block").alias("first"))
+    placed = placed.join(F.broadcast(ends), "order")  # one row for each order
+    at = F.floor((F.col("block") - F.col("first")) * blocks / (F.col("last") - F.col("first") + 1))
+    placed = placed.withColumn("block", at.cast("long"))
+    reach = -int(-(blocks * share - 1) // 2)
     # Windows at the ends of an order are moved inwards, so that each holds as many blocks.
-    low = F.greatest(F.col("first"), F.least(F.col("block") - reach, F.col("last") - 2 * reach))
-    high = F.least(F.col("last"), low + 2 * reach)
+    low = F.greatest(F.lit(0), F.least(F.col("block") - reach, F.lit(blocks - 1 - 2 * reach)))
+    high = F.least(F.lit(blocks - 1), low + 2 * reach)
     slot = lambda block: (F.col("order").cast("long") * (1 << 32) + block).alias("slot")
     held = placed.where("not asks").select(slot(F.col("block")), F.lit(0).alias("kind"), "id", "v")
     sent = placed.where("asks").withColumn("to", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
