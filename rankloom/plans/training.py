@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators import blend as B
 from ..operators import learners as M
-from ..operators.metrics import average_scores, cv_mean, fold_report
+from ..operators.folds import fold_count
+from ..operators.metrics import average_scores, cv_mean, fold_report, mse
+from ..operators.ranking import mean_ndcg, ndcg
 from ..session import packed, settle
 from ..settings import STOP_ROUNDS
 
@@ -66,15 +68,32 @@ def train_and_rank(
     return Trained(models, scored, report, cv_mean(report, ["ndcg", "mse", "mae"]), ranked)
 
 
+def fold_number(train: DataFrame, holdout: DataFrame, least: int = 2) -> int:
+    """Folds of a job from the sizes of its tables: train over hold-out, rounded half to even, ``least`` at any rate."""
+    return max(least, fold_count(train, holdout).first()["folds"] or 0)
+
+
 @dataclass
 class Blended:
     models: dict[int, dict[str, object]]
     predictions: DataFrame
+    report: DataFrame
     choices: DataFrame
     loss: DataFrame
     ranked: DataFrame | None
 
 
+def learner_report(preds: DataFrame, names: Sequence[str], k: int = 3) -> DataFrame:
+    """``(fold, model, ndcg, mse)`` of every learner on its valid rows, NDCG cut at ``k``."""
+    out = None
+    for name in names:
+        scores = mean_ndcg(ndcg(preds, ["fold", "context_id"], "target", name, "reply_id", k), ["fold"])
+        loss = preds.groupBy("fold").agg(mse("target", name).alias("mse"))
+        part = scores.join(loss, "fold").select("fold", F.lit(name).alias("model"), F.col("mean_ndcg").alias("ndcg"), "mse")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def blend_and_rank(
     features: FoldTables,
     estimators: Mapping[str, Estimator],
@@ -102,6 +121,7 @@ def blend_and_rank(
         scored = M.score_models(valid, models[f]).select("context_id", "reply_id", "target", F.lit(f).alias("fold"), *names)
         parts = scored if parts is None else parts.unionByName(scored)
     preds = settle(parts)
+    report = learner_report(preds, names)
     choices = settle(B.best_choice(preds, "target", names, ["fold"], lower_is_better))
     ranked = None
     if holdout is not None:
@@ -110,4 +130,4 @@ def blend_and_rank(
             part = M.score_models(holdout(f), models[f]).select("context_id", "reply_id", F.lit(f).alias("fold"), *names)
             rows = part if rows is None else rows.unionByName(part)
         ranked = B.blended_holdout(rows, choices, ["context_id", "reply_id"], names)
-    return Blended(models, preds, choices, choices.agg(F.avg("loss").alias("cv_loss")), ranked)
+    return Blended(models, preds, report, choices, choices.agg(F.avg("loss").alias("cv_loss")), ranked)
