@@ -155,19 +155,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     mine = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
     rows = mine.join(send(known, 12), F.col("__id") == F.col("__of")).select("__text", "__toxic")
     counts = rows.mapInArrow(_counted, "at long, clean long, toxic long").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # At most one row for each of BUCKETS hashed words, whatever the number of documents.
-    counts = counts.toPandas()
-    clean, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    clean[counts["at"].to_numpy()], toxic[counts["at"].to_numpy()] = counts["clean"].to_numpy(), counts["toxic"].to_numpy()
     total = {r[0]: r[1] for r in rows.groupBy("__toxic").agg(F.count("*")).collect()}
     good, bad = total.get(0, 0), total.get(1, 0)
+    ratio = np.zeros(BUCKETS)
     if not bad:
-        return Severity(np.zeros(BUCKETS), np.zeros(BUCKETS), np.full(GRADES - 1, 40.0))
-    ratio = np.log((toxic + 0.5) / (bad + 1)) - np.log((clean + 0.5) / (good + 1))
-    # Words whose share among toxic documents is within what chance gives have no say.
-    n, p = clean + toxic, bad / (good + bad)
-    chance = np.abs(toxic - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p) + 1e-9)
-    ratio[(n < LEAST) | (chance < DEVIATIONS)] = 0.0
+        return Severity(ratio, ratio, np.full(GRADES - 1, 40.0))
+    # Words whose share among toxic documents is within what chance gives have no say; the others are few, and never
+    # more than there are buckets.
+    p, n = bad / (good + bad), F.col("clean") + F.col("toxic")
+    chance = F.abs(F.col("toxic") - n * p) / F.sqrt(n * (p * (1 - p)) + 1e-9)
+    told = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
+    for r in counts.where((n >= LEAST) & (chance >= DEVIATIONS)).select("at", told.alias("ratio")).collect():
+        ratio[r["at"]] = r["ratio"]
     # The sample is bounded by its parameter, so its keys may go to every executor.
     drawn = F.broadcast(known.orderBy(F.xxhash64("__of"), "__of").limit(sample))
     part = mine.join(drawn, F.col("__id") == F.col("__of")).select("__text", "__toxic")
