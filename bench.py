@@ -44,6 +44,9 @@ HEADLINE = [
     "truncated_svd",
     "linear_oof",
     "gbt_oof",
+    "embedding_ranker",
+    "word_vector_ranker",
+    "blend_models",
     "tsv_lenient",
     "submission_file",
 ]
