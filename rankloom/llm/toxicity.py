@@ -131,7 +131,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, ratio: np.ndarray, r
         du, dl = upper[pick] * (1 - upper[pick]), lower[pick] * (1 - lower[pick])
         slope = -pull * (du - dl) / mass
         g = np.zeros_like(w)
-        g[: len(used)] = np.bincount(local, value * slope[row], minlength=len(used)) + ridge * (w[: len(used)] - 0.0) / len(used)
+        g[: len(used)] = np.bincount(local, value * slope[row], minlength=len(used)) + ridge * w[: len(used)] / len(used)
         per_cut = np.zeros((len(rows), levels))
         has_up, has_low = grades > 0, grades < levels
         per_cut[has_up, grades[has_up] - 1] += (pull * du / mass)[has_up]

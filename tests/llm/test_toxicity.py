@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from rankloom.llm.toxicity import LIMIT, fit_ordinal, train, with_severity
 
@@ -54,8 +53,7 @@ def test_no_toxic_labels_and_empty_tables(spark):
     assert train(df.limit(0), none).weight.sum() == 0
 
 
-def test_slopes_against_differences():
-    """One step of the fit moves against the numeric gradient of the weighted log-likelihood."""
+def test_fit_recovers_weights_and_grades():
     draw = np.random.default_rng(0)
     rows = [np.flatnonzero(draw.random(12) < 0.4) for _ in range(300)]
     true = draw.normal(size=12) * 2
@@ -65,4 +63,3 @@ def test_slopes_against_differences():
     got = np.array([model.raw(r) for r in rows])
     assert np.corrcoef(got, score)[0, 1] > 0.97
     assert np.mean((got[:, None] > model.cuts).sum(axis=1) == grades) > 0.93
-    assert model.weight == pytest.approx(model.weight)
