@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import send, stored
+from .common import stored
 
 LENGTH, GRAM = 200, 32
 # Members of one collection that a task may hold, and members that are built up together.
@@ -284,7 +284,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", d
     facts, spans = repeated_spans(docs, length, text, doc_id, group, together)
     spans = stored(spans.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnRenamed("digest", "of"), "spans")
     mine = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(text).alias("text"))
-    texts = mine.join(send(spans, F.size("spans") * 24 + 48), F.col("digest") == F.col("of")).select("digest", "text", "spans")
+    texts = mine.join(spans, F.col("digest") == F.col("of")).select("digest", "text", "spans")
     kept = texts.mapInArrow(_kept, "digest binary, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("digest", "of")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = facts.join(kept, F.col("digest") == F.col("of"), "left")
