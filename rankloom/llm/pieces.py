@@ -38,7 +38,7 @@ from .common import stored
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 # Different units and texts' bytes after which a task begins a new part; both bound what a reader holds.
-PART_UNITS, PART_BYTES = 300_000, 64 << 20
+PART_UNITS, PART_BYTES = 150_000, 32 << 20
 BLOCK = 512
 
 
