@@ -31,6 +31,8 @@ from .common import send, stored
 BUCKETS = 1 << 18
 SAMPLE = 20_000
 GRADES = 3
+# Least first threshold: a text without features has a probability of at most 1 / (1 + e^2) of being toxic.
+BASE = 2.0
 # Documents with at least this expected severity count as toxic.
 LIMIT = 0.7
 # A word points to toxicity if its log ratio is above this.
@@ -145,7 +147,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, ratio: np.ndarray, r
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     weight = np.zeros_like(ratio)
     weight[used] = w[: len(used)]
-    return Severity(ratio, weight, w[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(w[len(used) + 1 :]))]))
+    cuts = w[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(w[len(used) + 1 :]))])
+    # Balanced classes put the thresholds low when few words tell anything: a text without features stays clean.
+    return Severity(ratio, weight, cuts + max(0.0, BASE - cuts[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Severity:
