@@ -148,8 +148,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, ratio: np.ndarray, r
     weight = np.zeros_like(ratio)
     weight[used] = w[: len(used)]
     cuts = w[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(w[len(used) + 1 :]))])
-    # Balanced classes put the thresholds low when few words tell anything: a text without features stays clean.
-    return Severity(ratio, weight, cuts + max(0.0, BASE - cuts[0]))
+    return Severity(ratio, weight, cuts)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> Severity:
@@ -179,7 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     toxic = part["toxic"].to_numpy().astype(np.int64)
     points = np.array([(ratio[s] > POINTS).sum() for s in sets])
     middle = np.median(points[toxic == 1]) if (toxic == 1).any() else 0.0
-    return fit_ordinal(sets, toxic + ((toxic == 1) & (points >= middle)), ratio)
+    model = fit_ordinal(sets, toxic + ((toxic == 1) & (points >= middle)), ratio)
+    # Balanced classes put the thresholds low when few words tell anything: a text without features stays clean.
+    model.cuts = model.cuts + max(0.0, BASE - model.cuts[0])
+    return model
 
 
 def _scored(model: Severity):
