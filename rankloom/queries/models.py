@@ -25,11 +25,11 @@ from .lexical import KEYS, TURNS, counts_sql, turns, vocab_sql
 from .registry import query
 from .tables import CANDIDATES, DIALOGUES, candidates, dialogues, fold_sql, order_candidates, table
 
-# Trees of the learners of these queries, SVD components, and SVD rounds of the rankers; all other settings are those of
-# the presets and the job. `embedding_ranker` runs its preset as it stands, `truncated_svd` all rounds.
+# Trees of the learners of these queries; all other settings are those of the presets and the job. `embedding_ranker` runs
+# its preset as it stands.
 TREES = 10
+# Components that `truncated_svd` asks for, as its SQL states them; the rankers use the job's.
 COMPONENTS = 8
-ROUNDS = 5
 
 
 def _one_feature(rows):
@@ -262,7 +262,7 @@ def _ranked_by_fold(spark, name, train, holdout, folds, fit, estimator, scale=Fa
     return submitted(spark, done.ranked)
 
 
-LEXICAL = LexicalSettings(components=COMPONENTS, iterations=ROUNDS)
+LEXICAL = LexicalSettings()
 
 
 @query("lexical_ranker", _HELD)
