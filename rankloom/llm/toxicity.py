@@ -7,8 +7,10 @@ all labelled documents. The result is the expected severity, the sum over j of P
 The labels only tell toxic from clean. A toxic document gets grade 2 if at least half of the toxic ones have no higher
 number of words that point to toxicity, else grade 1; clean documents get 0.
 
-The counts cover every labelled document. The weights are fitted on at most ``sample`` labelled rows, those with the
-smallest hash of doc_id (clean and toxic rows by the same rule), so the driver holds a bounded table.
+The counts cover every labelled document. The weights are fitted on at most ``sample`` labelled documents, so the driver
+holds a bounded table. Toxic and clean ones are drawn apart, those with the smallest hash of doc_id: each class has half
+of the sample, and what one class cannot fill goes to the other, so rare toxic labels are never drowned. Words that the
+counts select but no drawn document holds keep weight 1, the one that the fit starts from.
 
 Defined cases: null, empty and wordless texts have no feature and get the severity of the thresholds alone, which is
 below any sensible limit; labels without a grade or a document are ignored, a doc_id labelled twice counts as toxic if
@@ -145,7 +147,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, ratio: np.ndarray, r
             g[len(used) + 1 + j] = each[j + 1 :].sum() * gaps[j]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    weight = np.zeros_like(ratio)
+    weight = (ratio != 0).astype(float)
     weight[used] = w[: len(used)]
     cuts = w[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(w[len(used) + 1 :]))])
     return Severity(ratio, weight, cuts)
@@ -156,6 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__of"))
     known = stored(known.agg((F.max("toxic") > 0).cast("int").alias("__toxic")), "known")
     mine = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
+    # Labels without a document have no part in the sample either.
+    known = stored(mine.join(send(known, 12), F.col("__id") == F.col("__of")).select("__of", "__toxic").distinct(), "held")
     rows = mine.join(send(known, 12), F.col("__id") == F.col("__of")).select("__text", "__toxic")
     counts = rows.mapInArrow(_counted, "at long, clean long, toxic long").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = {r[0]: r[1] for r in rows.groupBy("__toxic").agg(F.count("*")).collect()}
@@ -171,7 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     for r in counts.where((n >= LEAST) & (chance >= DEVIATIONS)).select("at", told.alias("ratio")).collect():
         ratio[r["at"]] = r["ratio"]
     # The sample is bounded by its parameter, so its keys may go to every executor.
-    drawn = F.broadcast(known.orderBy(F.xxhash64("__of"), "__of").limit(sample))
+    keys = {r[0]: r[1] for r in known.groupBy("__toxic").agg(F.count("*")).collect()}
+    most = min(keys[1], max(1, sample // 2, sample - keys.get(0, 0)))
+    first = known.orderBy(F.xxhash64("__of"), "__of")
+    drawn = F.broadcast(first.where("__toxic = 1").limit(most).unionByName(first.where("__toxic = 0").limit(sample - most)))
     part = mine.join(drawn, F.col("__id") == F.col("__of")).select("__text", "__toxic")
     part = part.mapInArrow(_features(ratio), "at array<int>, toxic int").toPandas()
     sets = [np.asarray(a, np.int64) for a in part["at"]]

@@ -63,3 +63,28 @@ def test_fit_recovers_weights_and_grades():
     got = np.array([model.raw(r) for r in rows])
     assert np.corrcoef(got, score)[0, 1] > 0.97
     assert np.mean((got[:, None] > model.cuts).sum(axis=1) == grades) > 0.93
+
+
+def test_sample_far_smaller_than_the_labels(spark):
+    draw = np.random.default_rng(5)
+    words, bad = ["wort%d" % i for i in range(300)], ["%sfoul" % c * 2 for c in "abcdefghij"]
+    rows, toxic = [], set(range(0, 3000, 50))
+    for i in range(3000):
+        text = [words[j] for j in draw.integers(0, 300, 30)]
+        rows.append((i, " ".join(text + [bad[j] for j in draw.permutation(10)[:3]] if i in toxic else text), "s", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(i, int(i in toxic)) for i in range(3000)], "doc_id long, toxic int")
+    for sample in (4, 20):
+        model = train(df, known, sample=sample)
+        assert (model.weight[model.ratio != 0] != 0).all()
+        found = {r.doc_id: r.found for r in with_severity(df, model, name="found", keep=["doc_id"]).collect()}
+        assert np.mean([found[i] >= LIMIT for i in toxic]) >= 0.95
+        assert np.mean([x >= LIMIT for i, x in found.items() if i not in toxic]) <= 0.01
+
+
+def test_labels_without_documents_have_no_part_in_the_sample(spark):
+    rows, labels = corpus(600)
+    df = spark.createDataFrame([(*r, "s", 0) for r in rows], SCHEMA)
+    far = [(i, 1) for i in range(10_000, 20_000)]
+    one, two = (train(df, spark.createDataFrame(x, "doc_id long, toxic int"), sample=100) for x in (labels, labels + far))
+    assert one.weight.any() and np.allclose(one.weight, two.weight) and np.allclose(one.cuts, two.cuts)
