@@ -39,7 +39,7 @@ from .common import stored
 LENGTH, GRAM = 200, 32
 # Members of one collection that a task may hold, and members that are built up together.
 GROUP, TOGETHER = 100_000, 50_000
-# Positions share a 64-bit key with 40 bits of hash; longer texts are cut into pieces that overlap by a window.
+# Positions share a 64-bit key with 40 bits of hash; longer texts are cut into pieces that overlap by a byte less than a window.
 _PLACE_BITS = 24
 _PIECE = (1 << _PLACE_BITS) - 1
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -67,11 +67,14 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor hash and packed place of every segment: first window << 16 | windows - 1 << 8 | anchor offset."""
+def segments(raw: bytes, length: int, piece: int = _PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor hash and packed place of every segment: first window << 16 | windows - 1 << 8 | anchor offset.
+
+    Texts are cut into pieces of at most ``piece`` bytes (``length`` to ``_PIECE``); every window lies in one of them.
+    """
     hashes, places = [], []
-    for start in range(0, max(1, len(raw) - length + 1), _PIECE - length):
-        part = np.frombuffer(raw, np.uint8)[start : start + _PIECE]
+    for start in range(0, max(1, len(raw) - length + 1), piece - length + 1):
+        part = np.frombuffer(raw, np.uint8)[start : start + piece]
         if len(part) < length:
             break
         h = gram_hashes(part, GRAM)
@@ -88,7 +91,7 @@ def segments(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def _signed(length: int):
+def _signed(length: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long_list = pa.list_(pa.int64())
         for batch in batches:
@@ -97,7 +100,7 @@ def _signed(length: int):
                 size, digest, keys, places = [], [], [], []
                 for text in part.column(1):
                     raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    k, p = segments(raw, length)
+                    k, p = segments(raw, length, piece)
                     size.append(len(raw)), digest.append(sha256(raw).digest()), keys.append(k), places.append(p)
                 columns = [part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, long_list), pa.array(places, long_list)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "digest", "keys", "places"])
@@ -238,11 +241,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests)], names=["digest", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", group: int = GROUP, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", group: int = GROUP, together: int = TOGETHER, piece: int = _PIECE
+) -> tuple[DataFrame, DataFrame]:
     """Facts of every row (doc_id, n_bytes, digest, copies), and the spans (digest, a, b) of texts without a copy."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, n_bytes long, digest binary, keys array<long>, places array<long>"
-    signed = stored(rows.mapInArrow(_signed(length), schema).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    signed = stored(rows.mapInArrow(_signed(length, piece), schema).withColumn("uid", F.monotonically_increasing_id()), "signed")
     classes = stored(signed.groupBy("digest").agg(F.count("*").alias("copies"), F.min("uid").alias("first")), "classes")
     facts = signed.select("doc_id", "n_bytes", "digest").join(classes.select("digest", "copies"), "digest")
     # One of each set of copies takes part.
@@ -279,9 +284,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     return facts, spans.join(owners, "uid").select("digest", "a", "b")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", group: int = GROUP, together: int = TOGETHER) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", group: int = GROUP, together: int = TOGETHER, piece: int = _PIECE
+) -> DataFrame:
     """Per row doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    facts, spans = repeated_spans(docs, length, text, doc_id, group, together)
+    facts, spans = repeated_spans(docs, length, text, doc_id, group, together, piece)
     spans = stored(spans.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnRenamed("digest", "of"), "spans")
     mine = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"), F.col(text).alias("text"))
     texts = mine.join(spans, F.col("digest") == F.col("of")).select("digest", "text", "spans")

@@ -59,5 +59,26 @@ def test_segments_cover_all_windows():
     assert (window_minima(x, 7) == [x[i : i + 7].min() for i in range(994)]).all()
 
 
+def test_every_window_of_a_cut_text_is_in_one_piece():
+    raw = bytes(np.random.default_rng(5).integers(0, 256, 3000, dtype=np.uint8))
+    for size in (699, 700, 701, 1401, 3000):
+        for piece in (200, 201, 450, 700):
+            _, places = segments(raw[:size], 200, piece)
+            first, many = places >> 16, (places >> 8 & 255) + 1
+            assert [w for a, n in zip(first, many) for w in range(a, a + n)] == list(range(size - 199))
+
+
+@pytest.mark.parametrize("group", [100_000, 1])
+def test_texts_of_several_pieces_against_plain_search(spark, group):
+    draw = np.random.default_rng(6)
+    plainly = ["".join(draw.choice(list("abcdefgh"), n)) for n in (2500, 1201, 700)]
+    rows = list(enumerate(plainly)) + [(9, plainly[0][300:1100] + plainly[1][:100])]
+    for part in (rows[:3], rows):
+        df = spark.createDataFrame([(*r, "d", "s") for r in part], SCHEMA)
+        got = sorted(map(tuple, without_repeats(df, group=group, piece=700).collect()), key=repr)
+        assert got == plain(part, 200)
+    assert not any(r[2] for r in plain(rows[:3], 200))
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
