@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -139,7 +140,7 @@ def _token_counts(located: DataFrame, keys: Sequence[str], text: str) -> DataFra
 
 def _filled(rows: DataFrame, found: DataFrame, keys: Sequence[str], width: int, out: str) -> DataFrame:
     """Rows without a vector get the zero vector. Both sides lie partitioned by ``keys``."""
-    return rows.select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce(out, zeros(width)).alias(out))
+    return found_for(rows.select(*keys), found, keys).select(*keys, F.coalesce(out, zeros(width)).alias(out))
 
 
 def _mean_of(found: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
@@ -215,6 +216,24 @@ def column_weighted_vectors(
     return spread_columns(found, colocate(rows.select(*keys), *keys), keys, columns, width, out=out)
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, null beside null; the keys come from ``left``."""
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def found_for(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of ``rows``, which hold their keys alone, with ``found``; null keys meet like any other.
+
+    A null-safe join cannot use that both sides lie by their keys already, so it is taken only where a key is null.
+    """
+    keys = list(keys)
+    if rows.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).isEmpty():
+        return rows.join(found, keys, "left")
+    return keyed_join(rows, found, keys, "left")
+
+
 def bind_columns(blocks: Sequence[tuple[str, DataFrame]], keys: Sequence[str], out: str = "features") -> DataFrame:
     """Put row-aligned vector blocks end to end, by key; null keys meet like any other.
 

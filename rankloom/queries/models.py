@@ -12,6 +12,7 @@ from ..functions.labels import target
 from ..operators import folds as D
 from ..operators import learners as M
 from ..operators import lexical as G
+from ..operators.embed import keyed_join
 from ..operators.numbering import number_within
 from ..operators.reduce import TruncatedSvd
 from ..plans import features as P
@@ -186,7 +187,7 @@ def embedded(spark, sf):
     train, holdout, folds = dialogue_rows(spark, sf)
     vectors, keys = word_vectors(spark, sf), ["context_id", "reply_id"]
     found = P.embedding_features(train, vectors, WIDTH)
-    found = settle(packed(found.join(train.select(*keys, "fold", "target"), keys)))
+    found = settle(packed(keyed_join(found, train.select(*keys, "fold", "target"), keys)))
     return found, settle(packed(P.embedding_features(holdout, vectors, WIDTH))), folds
 
 
