@@ -32,7 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, at most twice; those that a source's target leaves out go."""
+    """Documents as often as the mix takes them, at most twice; those that a source's target leaves out go,
+    and so do documents without words (null, empty, white space), of which no mix can take a word."""
     taken = mixing.mix(docs, mixing.label_quality(table(spark, sf_dir, "labels")))
     return mixing.apply_mix(docs, stored(taken, "taken"))
 

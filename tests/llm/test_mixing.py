@@ -77,3 +77,12 @@ def test_copies_follow_the_words_taken(spark):
 def test_no_words_at_all(spark):
     got = mix(frame(spark, [(1, "", "a"), (2, None, None)])).collect()
     assert [(r["size"], r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_documents_without_words_go_and_the_stage_says_so(spark):
+    from corpus_pipeline import mix_sources
+
+    df = frame(spark, [(1, "two words", "a"), (2, "", "a"), (3, None, "a"), (4, " \n", "a")])
+    out = apply_mix(df, mix(df, share=2)).collect()
+    assert [r.doc_id for r in out] == [1, 1]
+    assert "documents without words" in " ".join(mix_sources.__doc__.split())
