@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, exact, hilbert, minhash, mixing, pieces, repair, suffix, toxicity, warc
+from . import curves, exact, hilbert, minhash, mixing, pieces, repair, suffix, toxicity, warc, whitening
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -183,3 +183,8 @@ def shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op13_refined_whitening")
+def refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
