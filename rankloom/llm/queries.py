@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, exact, hilbert, minhash, mixing, pieces, repair, suffix, toxicity, warc, whitening
+from . import curves, exact, hilbert, minhash, mixing, phrases, pieces, repair, suffix, toxicity, warc, whitening
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -185,6 +185,40 @@ def block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query(
+    "op11_phrase_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS p FROM documents),
+    words AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM pieces),
+    grams AS (
+        SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+        FROM words, (VALUES (1), (2), (3), (4), (5)) t(m) WHERE len(w) >= m),
+    f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase),
+    sizes AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+    found AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 100),
+    cuts AS (SELECT *, unnest(range(1, m)) AS k FROM found),
+    scored AS (
+        SELECT c.lang, c.m, c.phrase, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+        FROM cuts c JOIN f l ON l.lang = c.lang AND l.m = k AND l.phrase = array_to_string(w[1:k], ' ')
+        JOIN f r ON r.lang = c.lang AND r.m = c.m - k AND r.phrase = array_to_string(w[k + 1:], ' ') JOIN sizes s ON s.lang = c.lang),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    covered AS (
+        SELECT DISTINCT s.lang, s.phrase FROM found s JOIN found q
+        ON q.lang = s.lang AND q.m > s.m AND 100 * q.a >= 100 * s.a AND contains(concat(' ', q.phrase, ' '), concat(' ', s.phrase, ' '))),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+        FROM best b WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = b.lang AND c.phrase = b.phrase))
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM ranked WHERE rank <= 2000
+    """,
+)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_refined_whitening")
 def refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
