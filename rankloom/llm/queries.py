@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, exact, hilbert, minhash, mixing, phrases, pieces, repair, suffix, toxicity, warc, whitening
+from . import curves, exact, hilbert, minhash, mixing, phrases, pieces, pii, repair, suffix, toxicity, warc, whitening
 from .common import table
 
 QUERIES, SQL = {}, {}
@@ -191,7 +191,8 @@ def block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH pieces AS (
         SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS p FROM documents),
+-
+]')) AS p FROM documents),
     words AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM pieces),
     grams AS (
         SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
@@ -219,6 +220,11 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op12_candidate_boosting")
+def candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 @query("op13_refined_whitening")
 def refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
