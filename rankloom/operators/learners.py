@@ -8,12 +8,13 @@ from dataclasses import dataclass, replace
 
 from pyspark import SparkContext
 from pyspark.ml import Estimator, Model
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from ..settings import BOOST_PRESETS, STOP_ROUNDS, BoostPreset
+from ..session import settle
+from ..settings import BOOST_PRESETS, STOP_CHUNK, STOP_ROUNDS, BoostPreset
 from .folds import train_rows, valid_rows
 
 
@@ -64,35 +65,81 @@ def best_round(losses: Sequence[float], rounds: int = STOP_ROUNDS) -> int:
 
 @dataclass
 class TrimmedBoost:
-    """A boosted model of which only the first ``kept`` trees score."""
+    """Boosted trees up to the best round. ``fitted`` trees were grown until the rule ended the training."""
 
     model: GBTRegressionModel
     kept: int
-
-    def trimmed(self) -> GBTRegressionModel:
-        """An ensemble of the kept trees alone, which scores a row in one function whatever their number."""
-        whole = self.model._java_obj
-        jvm, trees = SparkContext._active_spark_context._jvm, whole.trees()
-        kept = SparkContext._active_spark_context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, self.kept)
-        for i in range(self.kept):
-            kept[i] = trees[i]
-        weights = SparkContext._active_spark_context._gateway.new_array(jvm.double, self.kept)
-        for i, w in enumerate(self.model.treeWeights[: self.kept]):
-            weights[i] = float(w)
-        java = jvm.org.apache.spark.ml.regression.GBTRegressionModel(whole.uid() + "_trimmed", kept, weights, whole.numFeatures())
-        return GBTRegressionModel(java).setFeaturesCol(self.model.getFeaturesCol())
+    fitted: int
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        return self.trimmed().setPredictionCol(out).transform(df)
+        return self.model.copy({self.model.predictionCol: out}).transform(df)
+
+
+def ensemble(trees: Sequence[RandomForestRegressionModel], weights: Sequence[float], features: str) -> GBTRegressionModel:
+    """Trees as one model, which scores a row in one function whatever their number."""
+    gateway, jvm = SparkContext._active_spark_context._gateway, SparkContext._active_spark_context._jvm
+    own = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    share = gateway.new_array(jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        own[i], share[i] = tree._java_obj.trees()[0], float(weight)
+    java = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{trees[0].uid}_boosted", own, share, trees[0].numFeatures)
+    return GBTRegressionModel(java).setFeaturesCol(features)
+
+
+def has_stopped(losses: Sequence[float], rounds: int = STOP_ROUNDS) -> bool:
+    """Whether ``rounds`` trees in a row brought no lower loss than the best one before them."""
+    return best_round(losses, rounds) + rounds <= len(losses)
+
+
+def _one_tree(estimator: GBTRegressor) -> RandomForestRegressor:
+    """A single tree with the settings of a boosted learner's trees."""
+    return RandomForestRegressor(
+        featuresCol=estimator.getFeaturesCol(),
+        labelCol="__residual",
+        predictionCol="__tree",
+        numTrees=1,
+        bootstrap=False,
+        maxDepth=estimator.getMaxDepth(),
+        maxBins=estimator.getMaxBins(),
+        minInstancesPerNode=estimator.getMinInstancesPerNode(),
+        minInfoGain=estimator.getMinInfoGain(),
+        subsamplingRate=estimator.getSubsamplingRate(),
+        featureSubsetStrategy=estimator.getFeatureSubsetStrategy(),
+    )
 
 
 def fit_early_stopped(
-    estimator: GBTRegressor, train: DataFrame, valid: DataFrame, rounds: int = STOP_ROUNDS
+    estimator: GBTRegressor, train: DataFrame, valid: DataFrame, rounds: int = STOP_ROUNDS, chunk: int = STOP_CHUNK
 ) -> tuple[TrimmedBoost, list[float]]:
-    """Fit, read the valid loss after each tree in one pass, keep the best round."""
-    model = estimator.fit(train)
-    losses = list(model.evaluateEachIteration(valid, "squared"))
-    return TrimmedBoost(model, best_round(losses, rounds)), losses
+    """Grow trees until ``rounds`` of them in a row bring no lower valid loss, and keep the best round.
+
+    Trees come ``chunk`` at a time: each is fitted on what the trees before it leave over, exactly as the estimator's own next
+    tree would be (the first one on the target itself, with weight one; then on twice the residual, by the learning rate).
+    After a chunk the scores so far are settled, one pass reads its valid losses, and the rule decides whether to go on. So no
+    more than the kept trees, ``rounds`` and a chunk are fitted, whatever the number of trees asked for.
+    """
+    features, label, rate, most = estimator.getFeaturesCol(), estimator.getLabelCol(), estimator.getStepSize(), estimator.getMaxIter()
+    one, so_far = _one_tree(estimator), F.lit(0.0).alias("__so_far")
+    train, valid = (settle(df.select(features, F.col(label).cast("double").alias(label), so_far)) for df in (train, valid))
+    trees: list[RandomForestRegressionModel] = []
+    losses: list[float] = []
+    while len(trees) < most and not has_stopped(losses, rounds):
+        names = []
+        for _ in range(min(chunk, most - len(trees))):
+            residual = F.col(label) if not trees else 2 * (F.col(label) - F.col("__so_far"))
+            tree = one.copy({one.seed: estimator.getSeed() + len(trees)}).fit(train.withColumn("__residual", residual))
+            grown = F.col("__so_far") + F.col("__tree") * (rate if trees else 1.0)
+            train, valid = (tree.transform(df).withColumn("__so_far", grown).drop("__tree") for df in (train, valid))
+            trees.append(tree)
+            names.append(f"__f{len(trees)}")
+            valid = valid.withColumn(names[-1], F.col("__so_far"))
+        train, valid = settle(train), settle(valid)
+        found = valid.agg(*[F.avg(F.pow(F.col(label) - F.col(n), 2)).alias(n) for n in names]).first()
+        losses += [float("nan") if x is None else x for x in found]
+        valid = valid.drop(*names)
+    kept = best_round(losses, rounds)
+    model = ensemble(trees[:kept], [1.0] + [rate] * (kept - 1), features)
+    return TrimmedBoost(model, kept, len(trees)), losses
 
 
 def predict(model, df: DataFrame, out: str = "pred") -> DataFrame:
@@ -101,6 +148,15 @@ def predict(model, df: DataFrame, out: str = "pred") -> DataFrame:
     return model.copy({model.predictionCol: out}).transform(df)
 
 
+def side_by_side(fit: Callable, tasks: Sequence, parallelism: int) -> list:
+    """``fit`` of every task, ``parallelism`` of them at a time; the cluster shares its cores between their jobs."""
+    if parallelism <= 1:
+        return [fit(t) for t in tasks]
+    session = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(session)(fit), tasks))
+
+
 def fit_folds(
     features: DataFrame | Callable[[int], tuple[DataFrame, DataFrame]],
     estimator: Estimator,
@@ -124,11 +180,7 @@ def fit_folds(
             return fit_early_stopped(estimator, train, valid, rounds)[0]
         return estimator.fit(train)
 
-    if parallelism <= 1:
-        return {f: fit(f) for f in range(folds)}
-    session = SparkSession.getActiveSession()
-    with ThreadPoolExecutor(parallelism) as pool:
-        return dict(zip(range(folds), pool.map(inheritable_thread_target(session)(fit), range(folds))))
+    return dict(zip(range(folds), side_by_side(fit, range(folds), parallelism)))
 
 
 def score_folds(features, models: Mapping[int, object], roles: Sequence[str] = ("valid",), out: str = "pred") -> DataFrame:

@@ -102,22 +102,29 @@ def blend_and_rank(
     lower_is_better: bool = True,
     early_stopping: bool = False,
     rounds: int = STOP_ROUNDS,
+    parallelism: int = 1,
 ) -> Blended:
     """Several learners per fold, the best single model or blend by valid loss, and its hold-out ranking.
 
-    Learners with early stopping are the boosted ones; the linear one is fitted as it is.
+    Learners with early stopping are the boosted ones; the linear one is fitted as it is. Learners of all folds are
+    fitted side by side, ``parallelism`` at a time.
     """
     names = list(estimators)
-    models: dict[int, dict[str, object]] = {}
+    models: dict[int, dict[str, object]] = {f: {} for f in range(folds)}
+
+    def fit(task: tuple[int, str]) -> object:
+        train, valid = features(task[0])
+        estimator = estimators[task[1]]
+        if early_stopping and hasattr(estimator, "getMaxDepth"):
+            return M.fit_early_stopped(estimator, train, valid, rounds)[0]
+        return estimator.fit(train)
+
+    tasks = [(f, name) for f in range(folds) for name in names]
+    for (f, name), model in zip(tasks, M.side_by_side(fit, tasks, parallelism)):
+        models[f][name] = model
     parts = None
     for f in range(folds):
-        train, valid = features(f)
-        models[f] = {
-            name: M.fit_early_stopped(e, train, valid, rounds)[0]
-            if early_stopping and hasattr(e, "getMaxDepth")
-            else e.fit(train)
-            for name, e in estimators.items()
-        }
+        valid = features(f)[1]
         scored = M.score_models(valid, models[f]).select("context_id", "reply_id", "target", F.lit(f).alias("fold"), *names)
         parts = scored if parts is None else parts.unionByName(scored)
     preds = settle(parts)

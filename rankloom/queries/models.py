@@ -18,7 +18,7 @@ from ..operators.reduce import TruncatedSvd
 from ..plans import features as P
 from ..plans import training as T
 from ..session import packed, scratch_path, settle
-from ..settings import STOP_ROUNDS, TEXT_COLUMNS, LexicalSettings
+from ..settings import STOP_CHUNK, STOP_ROUNDS, TEXT_COLUMNS, LexicalSettings
 from ..sources import delimited as S
 from ..sources.vectors import placed_lines
 from .embedding import WIDTH, word_vectors
@@ -26,8 +26,8 @@ from .lexical import KEYS, TURNS, counts_sql, turns, vocab_sql
 from .registry import query
 from .tables import CANDIDATES, DIALOGUES, candidates, dialogues, fold_sql, order_candidates, table
 
-# Trees of the learners of these queries; all other settings are those of the presets and the job. `embedding_ranker` runs
-# its preset as it stands.
+# Trees of the learners of these queries; all other settings are those of the presets and the job. `embedding_ranker`,
+# `gbt_early_stop` and `word_vector_ranker` run their presets as they stand.
 TREES = 10
 # Components that `truncated_svd` asks for, as its SQL states them; the rankers use the job's.
 COMPONENTS = 8
@@ -205,24 +205,27 @@ def gbt_oof(spark, sf):
 
 @query(
     "gbt_early_stop",
-    f"""WITH {_SIZES} SELECT CAST(f AS INTEGER) AS fold, CAST(t + 1 AS INTEGER) AS tree, true AS by_rule, true AS same_score
-      FROM sizes, unnest(range(k)) AS a(f), range({TREES}) AS b(t)""",
+    f"""WITH {_SIZES} SELECT CAST(f AS INTEGER) AS fold, true AS by_rule, true AS ended_by_rule, true AS few_enough, true AS same_score
+      FROM sizes, unnest(range(k)) AS a(f)""",
 )
 def gbt_early_stop(spark, sf):
-    """After each tree of each fold, whether it is kept exactly if the rule over the losses keeps it, and whether the
-    trimmed model scores as the first trees of the whole one do."""
+    """The preset of 500 trees with early stopping, per fold: the kept round is the one the rule reads off the losses, training
+    ended by the rule or at the last tree, no more than a chunk was fitted beyond that, and the kept trees score as they did."""
     rows, _, folds = embedded(spark, sf)
-    estimator = M.boosted("embedding", trees=TREES, rate=0.5, min_rows=5)
-    out = []
-    for f in range(folds):
+    estimator = M.boosted("word_vectors")
+
+    def fit(f):
         valid = D.valid_rows(rows, f)
         model, losses = M.fit_early_stopped(estimator, D.train_rows(rows, f), valid)
-        # The rule read off the losses: the first tree after which none of the next STOP_ROUNDS is better.
+        # The first tree after which none of the next STOP_ROUNDS is better.
         best = next(i for i, x in enumerate(losses) if x == min(losses[: i + 1]) and all(y >= x for y in losses[i + 1 : i + 1 + STOP_ROUNDS]))
+        ended = best + STOP_ROUNDS < len(losses) or len(losses) == estimator.getMaxIter()
         error = M.predict(model, valid).agg(F.avg(F.pow(F.col("pred") - F.col("target"), 2))).first()[0]
-        same = error is None or abs(error - losses[model.kept - 1]) < 1e-9
-        out += [(f, i, (i <= model.kept) == (i <= best + 1), same) for i in range(1, len(losses) + 1)]
-    return spark.createDataFrame(out, "fold int, tree int, by_rule boolean, same_score boolean")
+        few = model.fitted == len(losses) <= model.kept + STOP_ROUNDS + STOP_CHUNK
+        return f, model.kept == best + 1, ended, few, error is None or abs(error - losses[model.kept - 1]) < 1e-9
+
+    out = M.side_by_side(fit, range(folds), folds)
+    return spark.createDataFrame(out, "fold int, by_rule boolean, ended_by_rule boolean, few_enough boolean, same_score boolean")
 
 
 _HELD = f"WITH {_KNOWN} SELECT context_id, reply_id, true AS in_order FROM known WHERE NOT known"
@@ -287,7 +290,7 @@ def word_vector_ranker(spark, sf):
     """Early-stopped trees on weighted word vectors, up to the submission."""
     train, holdout, folds = dialogue_rows(spark, sf)
     fit = P.fit_word_vector_features(train, folds, word_vectors(spark, sf), WIDTH, LEXICAL)
-    return _ranked_by_fold(spark, "word-vectors", train, holdout, folds, fit, M.boosted("word_vectors", trees=TREES), early_stopping=True)
+    return _ranked_by_fold(spark, "word-vectors", train, holdout, folds, fit, M.boosted("word_vectors"), early_stopping=True)
 
 
 @query("mixed_ranker", _HELD)
@@ -309,7 +312,7 @@ def sparse_mixed_ranker(spark, sf):
 def _blended(spark, sf):
     rows, holdout, folds = embedded(spark, sf)
     learners = {"lr": M.linear(ridge=0.01)} | {n: M.boosted(n, trees=TREES) for n in ("xgb", "cat", "lgbm")}
-    return T.blend_and_rank(lambda f: (D.train_rows(rows, f), D.valid_rows(rows, f)), learners, folds, lambda f: holdout)
+    return T.blend_and_rank(lambda f: (D.train_rows(rows, f), D.valid_rows(rows, f)), learners, folds, lambda f: holdout, parallelism=8)
 
 
 @query("blend_models", _HELD)

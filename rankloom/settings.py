@@ -16,6 +16,9 @@ STOP_ROUNDS = 5
 VECTOR_WIDTH = 300
 NDCG_SCALE = 100_000
 
+# Trees that are fitted between two looks at the valid loss.
+STOP_CHUNK = 5
+
 TEXT_COLUMNS = ("context_2", "context_1", "context_0", "reply")
 
 

@@ -19,7 +19,7 @@ def data(spark):
     return D.assign_folds(df, ["id"], 3).cache()
 
 
-def test_presets():
+def test_presets(spark):
     est = M.boosted("lexical")
     assert (est.getMaxIter(), est.getStepSize(), est.getMaxBins(), est.getMinInstancesPerNode()) == (150, 0.03, 1024, 20)
     assert (est.getSubsamplingRate(), est.getFeatureSubsetStrategy()) == (0.95, "0.9")
@@ -44,6 +44,18 @@ def test_early_stopping_scores_with_the_kept_trees(data):
     assert np.mean([(r.target - r.p) ** 2 for r in scored]) == pytest.approx(losses[model.kept - 1])
 
 
+@pytest.mark.parametrize("chunk", [1, 4])
+def test_chunks_grow_the_trees_of_the_whole_learner_and_stop(data, chunk):
+    train, valid = D.train_rows(data, 0), D.valid_rows(data, 0)
+    est = M.boosted("embedding", **(SMALL | {"trees": 500, "rate": 0.8}))
+    model, losses = M.fit_early_stopped(est, train, valid, rounds=3, chunk=chunk)
+    assert model.fitted == len(losses) <= model.kept + 3 + chunk < 100 and M.has_stopped(losses, 3)
+    whole = est.copy({est.maxIter: model.fitted}).fit(train)
+    assert losses == pytest.approx(list(whole.evaluateEachIteration(valid, "squared")))
+    few = M.fit_early_stopped(est.copy({est.maxIter: 2}), train, valid, rounds=3, chunk=chunk)[0]
+    assert few.fitted == 2 and few.kept <= 2
+
+
 def test_training_loss_falls(data):
     train = D.train_rows(data, 0)
     model = M.boosted("embedding", **SMALL).fit(train)
