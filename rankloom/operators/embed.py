@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_tokens, drop_tokens, join_tokens, key_prefix, strip_accents
 from ..session import BROADCAST_BYTES, broadcast_if_small, colocate, settle, table_bytes
+from .matrices import beside, product, row_ranges
+
+# Words of a block of vectors, on average, and places that a block has.
+WORDS, PLACES = 2048, 1 << 20
 
 
 def zeros(width: int) -> Column:
@@ -96,18 +100,26 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return measured.withColumn("vector", F.transform("vector", lambda x: x / F.col("__len"))).drop("__len")
 
 
-def _blocks(vectors: DataFrame, width: int, limit: int) -> list[DataFrame]:
-    """The vector table in parts small enough to broadcast, by a hash of the word.
+def _placed(weights: DataFrame, vectors: DataFrame, width: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The weights, each word's place ``(term, idx)``, the vectors as dense blocks ``(block, v)``, and their bytes.
 
-    Sending the table to every executor costs its size once per executor. Sending
-    tokens to the table instead would shuffle one whole vector per token.
+    A table above the limit is first cut to the words that the texts hold; the weights are settled for that, so that texts are
+    cut into words once. Words are dealt into blocks by a hash. A one behind each vector makes the product count the weights
+    that met a vector.
     """
-    size = table_bytes(vectors, width * 8 + 64)
-    count = max(1, -(-size // limit))
-    if count == 1:
-        return [vectors]
-    part = F.pmod(F.xxhash64("word"), F.lit(count))
-    return [vectors.where(part == i) for i in range(count)]
+    known = vectors.select(F.col("word").alias("term"), F.concat("vector", F.array(F.lit(1.0))).alias("v")).where("term is not null")
+    if table_bytes(known, width * 8 + 64) > limit:
+        weights = settle(weights)
+        known = known.join(weights.select("term").distinct(), "term", "left_semi")
+    known = settle(known)
+    count = known.count()
+    blocks = max(1, -(-count // WORDS))
+    at = F.row_number().over(W.partitionBy("block").orderBy("term")) - 1
+    known = known.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("long")).withColumn("at", at.cast("long"))
+    in_order = F.sort_array(F.collect_list(F.struct("at", "v")))
+    dense = known.groupBy("block").agg(F.flatten(F.transform(in_order, lambda s: s["v"])).alias("v"))
+    places = known.select("term", (F.col("block") * PLACES + F.col("at")).alias("idx"))
+    return weights, places, dense, count * (width + 1) * 8
 
 
 def _summed(
@@ -115,22 +127,14 @@ def _summed(
 ) -> DataFrame:
     """``(keys, out, mass)``: weighted vector sum and sum of the weights that met a vector.
 
-    ``weights`` is ``(keys, term, weight)``, partitioned by text, and stays so: every
-    part of the vector table is broadcast, and sums are running, constant-size state.
+    ``weights`` is ``(keys, term, weight)``, partitioned by text. Words become places in the vector table, and the texts of a
+    range are multiplied with blocks of vectors at once: a word's vector is read once for a range and not once for a token.
     """
-    total = Summarizer.sum(array_to_vector(F.col("__v")), F.col("weight"))
-    parts = []
-    for block in _blocks(vectors, width, limit):
-        known = F.broadcast(block.select(F.col("word").alias("term"), F.col("vector").alias("__v")))
-        met = weights.join(known, "term").groupBy(*keys)
-        parts.append(met.agg(total.alias("__s"), F.sum("weight").alias("mass")))
-    if len(parts) == 1:
-        return parts[0].select(*keys, vector_to_array("__s").alias(out), "mass")
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    merged = union.groupBy(*keys).agg(Summarizer.sum(F.col("__s"), F.lit(1.0)).alias("__s"), F.sum("mass").alias("mass"))
-    return merged.select(*keys, vector_to_array("__s").alias(out), "mass")
+    weights, places, dense, size = _placed(weights, vectors, width, limit)
+    known = broadcast_if_small(places, F.octet_length("term") + 64, limit)
+    ranges = row_ranges(weights.join(known, "term").select(*keys, "idx", "weight"), keys, PLACES)
+    found = product(beside(ranges, dense, size, limit), keys, np.eye(width + 1), "__v")
+    return found.select(*keys, F.slice("__v", 1, width).alias(out), F.element_at("__v", width + 1).alias("mass"))
 
 
 def _token_counts(located: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

@@ -1,15 +1,25 @@
-"""Sums of equally long number arrays over a table, added in a tree on the executors."""
+"""Products of a sparse matrix, held as a table, with dense blocks; sums of number arrays, added in a tree on the executors.
+
+A sparse matrix X is a long table (keys, idx, weight). Its rows are dealt into ranges, and a range is cut into tiles by block
+of ``idx``. A dense matrix V is a table with one row (block, v) per block of rows. Ranges are the unit of work: no column,
+however frequent, draws cells into one task, and no vector per cell or per text travels.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import BROADCAST_BYTES, shuffle_width
 
-# Sums that reach the driver at most, whatever the number of tasks.
-SUMS = 16
+# Sums that reach the driver at most, whatever the number of tasks; rows of a range at most, and cells that are multiplied
+# at a time.
+SUMS, RANGE, CHUNK = 16, 8192, 16_384
 
 Batches = Iterator[pa.RecordBatch]
 _SUM = "high array<double>, low array<double>"
@@ -65,3 +75,92 @@ def summed(df: DataFrame, share: Callable[[pa.RecordBatch], np.ndarray], size: i
         out += np.array(r["high"])
         out += np.array(r["low"])
     return out
+
+
+_TILE = "struct<block:long,row:array<int>,at:array<int>,w:array<double>>"
+
+
+def _ranges(block: int, most: int) -> Callable[[Batches], Batches]:
+    """Rows (id, features, weights) to ranges of rows, each cut into tiles of ``block`` features."""
+
+    def run(batches: Batches) -> Batches:
+        g = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo in range(0, batch.num_rows, most):
+                part = batch.slice(lo, most)
+                at, w = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+                row = np.repeat(np.arange(part.num_rows, dtype=np.int32), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                order = np.argsort(at // block, kind="stable")
+                blocks, first = np.unique(at[order] // block, return_index=True)
+                ends = pa.array(np.r_[first, len(order)], pa.int32())
+                cut = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (row, (at % block).astype(np.int32), w)]
+                tiles = pa.StructArray.from_arrays([pa.array(blocks), *cut], names=["block", "row", "at", "w"])
+                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column(0), tiles)]
+                yield pa.RecordBatch.from_arrays([pa.array([g]), *one], names=["g", "ids", "tiles"])
+                g += 1
+
+    return run
+
+
+def added_to(out: np.ndarray, to: np.ndarray, weight: np.ndarray, of: np.ndarray, source: np.ndarray) -> None:
+    """out[to] += weight * source[of], for ``to`` in order."""
+    for lo in range(0, len(to), CHUNK):
+        at = to[lo : lo + CHUNK]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        out[at[first]] += np.add.reduceat(weight[lo : lo + CHUNK, None] * source[of[lo : lo + CHUNK]], first, axis=0)
+
+
+def projected(batches: Batches, turn: np.ndarray):
+    """Range by range: its number, the ids of its rows, its tiles and its rows of X (V turn).
+
+    Tiles of a range come one after the other, beside V of their block.
+    """
+    held, width = None, len(turn)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            g, block = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+            if held is None or held[0] != g:
+                if held is not None:
+                    yield *held[:3], held[3] @ turn
+                ids = batch.column(1)[i].values
+                held = (g, ids, [], np.zeros((len(ids), width)))
+            row, at, w = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+            held[2].append((block, row, at, w))
+            if batch.column(6)[i].is_valid:
+                added_to(held[3], row, w, at, batch.column(6)[i].values.to_numpy(zero_copy_only=False).reshape(-1, width))
+    if held is not None:
+        yield *held[:3], held[3] @ turn
+
+
+def _scored(turn: np.ndarray) -> Callable[[Batches], Batches]:
+    """X (V turn), row by row."""
+
+    def run(batches: Batches) -> Batches:
+        for _, ids, _, y in projected(batches, turn):
+            yield pa.RecordBatch.from_arrays([ids, lists(y)], names=["id", "y"])
+
+    return run
+
+
+def row_ranges(weights: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
+    """(g, ids, tiles): ranges of the rows of X, with their keys. A row's cells are gathered by one shuffle, or by none if its
+    keys lie together already."""
+    cell = F.struct(F.col("idx").cast("long").alias("at"), F.col("weight").cast("double").alias("w"))
+    per = weights.groupBy(*keys).agg(F.collect_list(cell).alias("c"))
+    per = per.select(F.struct(*keys).alias("id"), F.col("c.at").alias("at"), F.col("c.w").alias("w"))
+    return per.mapInArrow(_ranges(block, RANGE), f"g long, ids array<{per.schema['id'].dataType.simpleString()}>, tiles array<{_TILE}>")
+
+
+def beside(ranges: DataFrame, dense: DataFrame, dense_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Tiles with V of their block, range by range. V is sent to every executor up to ``limit`` bytes, else both are shuffled."""
+    tiles = ranges.select("g", "ids", F.explode("tiles").alias("t")).select("g", "ids", "t.*")
+    small = dense_bytes <= limit
+    met = tiles.join(F.broadcast(dense) if small else dense, "block", "left").select("g", "ids", "block", "row", "at", "w", "v")
+    # A broadcast join keeps the order of the tiles.
+    return met if small else met.repartition(shuffle_width(ranges.sparkSession), "g").sortWithinPartitions("g", "block")
+
+
+def product(met: DataFrame, keys: Sequence[str], turn: np.ndarray, out: str = "vector") -> DataFrame:
+    """X (V turn) of what `beside` gives: (keys, out)."""
+    ids = met.schema["ids"].dataType.elementType.simpleString()
+    return met.mapInArrow(_scored(turn), f"id {ids}, y array<double>").select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("y").alias(out))

@@ -33,7 +33,7 @@ def test_weighted_vector_fixture(spark):
     assert got == {1: pytest.approx([6.5, 9.0]), 2: [0.0, 0.0]}
 
 
-def test_a_vector_table_in_parts_gives_the_same(spark):
+def test_a_vector_table_in_parts_gives_the_same(spark, monkeypatch):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(60)]
     table = {w: rng.normal(size=4).tolist() for w in words}
@@ -42,8 +42,13 @@ def test_a_vector_table_in_parts_gives_the_same(spark):
     texts = [(i, " ".join(pick.choices(words + ["unknown"], k=pick.randrange(12)))) for i in range(50)]
     df = spark.createDataFrame(texts, "id int, text string")
     whole = {r.id: r.vector for r in E.sentence_vectors(df, ["id"], "text", vectors, 4).collect()}
+    monkeypatch.setattr(E, "WORDS", 9)
     parts = {r.id: r.vector for r in E.sentence_vectors(df, ["id"], "text", vectors, 4, limit=1000).collect()}
-    assert len(E._blocks(vectors, 4, 1000)) > 3
+    weights = spark.createDataFrame([(1, "w3", 1.0), (1, "w4", 1.0), (2, "w3", 1.0), (2, "none", 1.0)], "id int, term string, weight double")
+    _, places, dense, size = E._placed(weights, vectors, 4, 1000)
+    assert {r.term for r in places.collect()} == {"w3", "w4"} and size == 2 * 5 * 8
+    _, places, dense, _ = E._placed(weights, vectors, 4, 1 << 20)
+    assert places.count() == 60 and dense.count() > 3
     assert whole.keys() == parts.keys()
     for i, text in texts:
         known = [np.array(table[w]) / np.linalg.norm(table[w]) for w in text.split() if w in table]
@@ -61,9 +66,9 @@ def test_columns_end_to_end(spark, vectors):
 def test_columns_of_a_row_stay_together(spark, vectors):
     df = spark.createDataFrame([(1, "a", "b")], "id int, x string, y string")
     plan = E.column_sentence_vectors(df, ["id"], ["x", "y"], vectors, 2)._jdf.queryExecution().executedPlan().toString()
-    # One for the texts, one for the bare keys.
-    assert plan.count("Exchange hashpartitioning") <= 2
-    assert "SortMergeJoin [word" not in plan and "BroadcastHashJoin" in plan
+    # One for the texts, one for the bare keys; the vector table is dealt into its blocks apart from them.
+    assert plan.count("Exchange hashpartitioning(id") <= 2
+    assert "SortMergeJoin [term" not in plan and "SortMergeJoin [block" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_last_wins(spark, rows):
