@@ -123,22 +123,35 @@ def _placed(weights: DataFrame, vectors: DataFrame, width: int, limit: int) -> t
 
 
 def _summed(
-    weights: DataFrame, keys: Sequence[str], vectors: DataFrame, width: int, out: str, limit: int
+    weights: DataFrame, keys: Sequence[str], vectors: DataFrame, width: int, out: str, limit: int, columns: Sequence[str] = (), mean: bool = False
 ) -> DataFrame:
-    """``(keys, out, mass)``: weighted vector sum and sum of the weights that met a vector.
+    """``(keys, out)``: weighted vector sums, or means, of the text columns end to end; zero where no word has a vector.
 
-    ``weights`` is ``(keys, term, weight)``, partitioned by text. Words become places in the vector table, and the texts of a
-    range are multiplied with blocks of vectors at once: a word's vector is read once for a range and not once for a token.
+    ``weights`` is ``(keys, term, weight)``, with ``columns`` also ``column``, partitioned by ``keys`` and one row at least for
+    each of them. Words become places in the vector table, and the texts of a range are multiplied with blocks of vectors at
+    once: a word's vector is read once for a range and not once for a token.
     """
     weights, places, dense, size = _placed(weights, vectors, width, limit)
     known = broadcast_if_small(places, F.octet_length("term") + 64, limit)
-    ranges = row_ranges(weights.join(known, "term").select(*keys, "idx", "weight"), keys, PLACES)
-    found = product(beside(ranges, dense, size, limit), keys, np.eye(width + 1), "__v")
-    return found.select(*keys, F.slice("__v", 1, width).alias(out), F.element_at("__v", width + 1).alias("mass"))
+    slots, slot = max(1, len(columns)), []
+    if slots > 1:
+        slot = [(F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")) - 1).alias("slot")]
+    ranges = row_ranges(weights.join(known, "term", "left").select(*keys, *slot, "idx", "weight"), keys, PLACES, slots)
+    found = product(beside(ranges, dense, size, limit), keys, np.eye(width + 1), "__v", slots)
+    parts = []
+    for i in range(slots):
+        part, mass = F.slice("__v", i * (width + 1) + 1, width), F.element_at("__v", (i + 1) * (width + 1))
+        parts.append(F.when(mass != 0, F.transform(part, _over(mass))).otherwise(zeros(width)) if mean else part)
+    return found.select(*keys, F.concat(*parts).alias(out))
+
+
+def _over(mass: Column):
+    return lambda x: x / mass
 
 
 def _token_counts(located: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    tokens = located.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))).alias("term"))
+    """Tokens of a text with their counts; one row without a token for a text that has none."""
+    tokens = located.select(*keys, F.explode_outer(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))).alias("term"))
     return tokens.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -147,10 +160,6 @@ def _filled(rows: DataFrame, found: DataFrame, keys: Sequence[str], width: int,
     return found_for(rows.select(*keys), found, keys).select(*keys, F.coalesce(out, zeros(width)).alias(out))
 
 
-def _mean_of(found: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    return found.select(*keys, F.transform(out, lambda x: x / F.col("mass")).alias(out))
-
-
 def sentence_vectors(
     df: DataFrame, keys: Sequence[str], text: str, vectors: DataFrame, width: int, out: str = "vector", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -160,8 +169,7 @@ def sentence_vectors(
     """
     keys = list(keys)
     located = colocate(df.select(*keys, text), *keys)
-    found = _summed(_token_counts(located, keys, text), keys, unit_vectors(vectors), width, out, limit)
-    return _filled(located, _mean_of(found, keys, out), keys, width, out)
+    return _summed(_token_counts(located, keys, text), keys, unit_vectors(vectors), width, out, limit, mean=True)
 
 
 def weighted_vectors(
@@ -198,10 +206,10 @@ def column_sentence_vectors(
 
     Rows are shuffled once, by their key; all columns of a row stay together.
     """
-    keys, cell = list(keys), [*keys, "column"]
-    stacked = colocate(df.unpivot(keys, list(columns), "column", "text"), *keys)
-    found = _summed(_token_counts(stacked, cell, "text"), cell, unit_vectors(vectors), width, "vector", limit)
-    return spread_columns(_mean_of(found, cell, "vector"), colocate(df.select(*keys), *keys), keys, columns, width, out=out)
+    keys, columns = list(keys), list(columns)
+    stacked = colocate(df.unpivot(keys, columns, "column", "text"), *keys)
+    counts = _token_counts(stacked, [*keys, "column"], "text")
+    return _summed(counts, keys, unit_vectors(vectors), width, out, limit, columns, mean=True)
 
 
 def column_weighted_vectors(
@@ -215,9 +223,9 @@ def column_weighted_vectors(
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Weighted vector sums of several text columns, end to end: ``weights`` is ``(keys, column, term, weight)``."""
-    keys, cell = list(keys), [*keys, "column"]
-    found = _summed(weights.select(*cell, "term", "weight"), cell, vectors, width, "vector", limit)
-    return spread_columns(found, colocate(rows.select(*keys), *keys), keys, columns, width, out=out)
+    keys, columns = list(keys), list(columns)
+    found = _summed(weights.select(*keys, "column", "term", "weight"), keys, vectors, width, out, limit, columns)
+    return _filled(colocate(rows.select(*keys), *keys), found, keys, width * len(columns), out)
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -80,16 +80,19 @@ def summed(df: DataFrame, share: Callable[[pa.RecordBatch], np.ndarray], size: i
 _TILE = "struct<block:long,row:array<int>,at:array<int>,w:array<double>>"
 
 
-def _ranges(block: int, most: int) -> Callable[[Batches], Batches]:
-    """Rows (id, features, weights) to ranges of rows, each cut into tiles of ``block`` features."""
+def _ranges(block: int, most: int, slots: int) -> Callable[[Batches], Batches]:
+    """Rows (id, slots, features, weights) to ranges of rows, each cut into tiles of ``block`` features. Each slot is a row of X."""
 
     def run(batches: Batches) -> Batches:
         g = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo in range(0, batch.num_rows, most):
                 part = batch.slice(lo, most)
-                at, w = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
-                row = np.repeat(np.arange(part.num_rows, dtype=np.int32), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                slot, at, w = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                row = np.repeat(np.arange(part.num_rows, dtype=np.int32) * slots, part.column(1).value_lengths().to_numpy(zero_copy_only=False)) + slot
+                # Cells of a row come in any order.
+                within = np.argsort(row, kind="stable")
+                row, at, w = row[within].astype(np.int32), at[within].astype(np.int64), w[within]
                 order = np.argsort(at // block, kind="stable")
                 blocks, first = np.unique(at[order] // block, return_index=True)
                 ends = pa.array(np.r_[first, len(order)], pa.int32())
@@ -110,7 +113,7 @@ def added_to(out: np.ndarray, to: np.ndarray, weight: np.ndarray, of: np.ndarray
         out[at[first]] += np.add.reduceat(weight[lo : lo + CHUNK, None] * source[of[lo : lo + CHUNK]], first, axis=0)
 
 
-def projected(batches: Batches, turn: np.ndarray):
+def projected(batches: Batches, turn: np.ndarray, slots: int = 1):
     """Range by range: its number, the ids of its rows, its tiles and its rows of X (V turn).
 
     Tiles of a range come one after the other, beside V of their block.
@@ -123,7 +126,9 @@ def projected(batches: Batches, turn: np.ndarray):
                 if held is not None:
                     yield *held[:3], held[3] @ turn
                 ids = batch.column(1)[i].values
-                held = (g, ids, [], np.zeros((len(ids), width)))
+                held = (g, ids, [], np.zeros((len(ids) * slots, width)))
+            if block is None:
+                continue
             row, at, w = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (3, 4, 5))
             held[2].append((block, row, at, w))
             if batch.column(6)[i].is_valid:
@@ -132,35 +137,37 @@ def projected(batches: Batches, turn: np.ndarray):
         yield *held[:3], held[3] @ turn
 
 
-def _scored(turn: np.ndarray) -> Callable[[Batches], Batches]:
-    """X (V turn), row by row."""
+def _scored(turn: np.ndarray, slots: int) -> Callable[[Batches], Batches]:
+    """X (V turn), id by id, its slots end to end."""
 
     def run(batches: Batches) -> Batches:
-        for _, ids, _, y in projected(batches, turn):
-            yield pa.RecordBatch.from_arrays([ids, lists(y)], names=["id", "y"])
+        for _, ids, _, y in projected(batches, turn, slots):
+            yield pa.RecordBatch.from_arrays([ids, lists(y.reshape(len(ids), -1))], names=["id", "y"])
 
     return run
 
 
-def row_ranges(weights: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
+def row_ranges(weights: DataFrame, keys: Sequence[str], block: int, slots: int = 1) -> DataFrame:
     """(g, ids, tiles): ranges of the rows of X, with their keys. A row's cells are gathered by one shuffle, or by none if its
-    keys lie together already."""
-    cell = F.struct(F.col("idx").cast("long").alias("at"), F.col("weight").cast("double").alias("w"))
-    per = weights.groupBy(*keys).agg(F.collect_list(cell).alias("c"))
-    per = per.select(F.struct(*keys).alias("id"), F.col("c.at").alias("at"), F.col("c.w").alias("w"))
-    return per.mapInArrow(_ranges(block, RANGE), f"g long, ids array<{per.schema['id'].dataType.simpleString()}>, tiles array<{_TILE}>")
+    keys lie together already; cells without ``idx`` keep their row alive. With ``slots`` a key has as many rows of X, and its
+    cells say in ``slot`` which one they are in."""
+    slot = F.col("slot").cast("int") if slots > 1 else F.lit(0)
+    cell = F.struct(slot.alias("slot"), F.col("idx").cast("long").alias("at"), F.col("weight").cast("double").alias("w"))
+    per = weights.groupBy(*keys).agg(F.collect_list(F.when(F.col("idx").isNotNull(), cell)).alias("c"))
+    per = per.select(F.struct(*keys).alias("id"), F.col("c.slot").alias("slot"), F.col("c.at").alias("at"), F.col("c.w").alias("w"))
+    return per.mapInArrow(_ranges(block, RANGE, slots), f"g long, ids array<{per.schema['id'].dataType.simpleString()}>, tiles array<{_TILE}>")
 
 
 def beside(ranges: DataFrame, dense: DataFrame, dense_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Tiles with V of their block, range by range. V is sent to every executor up to ``limit`` bytes, else both are shuffled."""
-    tiles = ranges.select("g", "ids", F.explode("tiles").alias("t")).select("g", "ids", "t.*")
+    tiles = ranges.select("g", "ids", F.explode_outer("tiles").alias("t")).select("g", "ids", "t.*")
     small = dense_bytes <= limit
     met = tiles.join(F.broadcast(dense) if small else dense, "block", "left").select("g", "ids", "block", "row", "at", "w", "v")
     # A broadcast join keeps the order of the tiles.
     return met if small else met.repartition(shuffle_width(ranges.sparkSession), "g").sortWithinPartitions("g", "block")
 
 
-def product(met: DataFrame, keys: Sequence[str], turn: np.ndarray, out: str = "vector") -> DataFrame:
-    """X (V turn) of what `beside` gives: (keys, out)."""
+def product(met: DataFrame, keys: Sequence[str], turn: np.ndarray, out: str = "vector", slots: int = 1) -> DataFrame:
+    """X (V turn) of what `beside` gives: (keys, out), a key's slots end to end."""
     ids = met.schema["ids"].dataType.elementType.simpleString()
-    return met.mapInArrow(_scored(turn), f"id {ids}, y array<double>").select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("y").alias(out))
+    return met.mapInArrow(_scored(turn, slots), f"id {ids}, y array<double>").select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("y").alias(out))

@@ -66,8 +66,8 @@ def test_columns_end_to_end(spark, vectors):
 def test_columns_of_a_row_stay_together(spark, vectors):
     df = spark.createDataFrame([(1, "a", "b")], "id int, x string, y string")
     plan = E.column_sentence_vectors(df, ["id"], ["x", "y"], vectors, 2)._jdf.queryExecution().executedPlan().toString()
-    # One for the texts, one for the bare keys; the vector table is dealt into its blocks apart from them.
-    assert plan.count("Exchange hashpartitioning(id") <= 2
+    # One for the texts; the vector table is dealt into its blocks apart from them.
+    assert plan.count("Exchange hashpartitioning(id") <= 1
     assert "SortMergeJoin [term" not in plan and "SortMergeJoin [block" not in plan and "BroadcastHashJoin" in plan
 
 
