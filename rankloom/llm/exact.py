@@ -13,7 +13,7 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, joined, named_in_order, one_of_each, stored
@@ -21,29 +21,35 @@ from .common import WHITE, joined, named_in_order, one_of_each, stored
 BLOCK = 2048
 
 
-def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def _cut(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).alias("doc_id"), raw.alias("raw"), F.translate(raw, WHITE, "").alias("norm"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), raw.alias("raw"), F.translate(raw, WHITE, "").alias("norm"))
+    cut = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block), F.lit(0))
+    return rows.withColumn("cut", F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut))
 
 
-def _digested(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return _rows(docs, text, doc_id).select(
-        "doc_id", F.char_length("raw").cast("long").alias("n_points"), F.sha2("norm", 256).alias("sha")
-    )
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
-def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """One row for each different (doc_id, sha): rounds and name, which are the identity of the normalised text."""
-    cut = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block), F.lit(0))
-    cut = F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut)
-    cut = _rows(docs, text, doc_id).select("doc_id", F.sha2("norm", 256).alias("sha"), cut.alias("cut"))
-    blocks = cut.select("doc_id", "sha", F.size("cut").alias("n"), F.posexplode("cut").alias("pos", "block"))
+def digested(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_points, key, digests) of every row, written: SHA-256 of the normalised text and of its blocks."""
+    rows = _cut(docs, text, doc_id, block)
+    return stored(rows.select("doc_id", F.char_length("raw").cast("long").alias("n_points"), _digest(F.col("norm")).alias("key"), F.transform("cut", _digest).alias("digests")), "digests")
+
+
+def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, rows: DataFrame | None = None) -> DataFrame:
+    """One row for each different (doc_id, sha): rounds and name, which are the identity of the normalised text.
+
+    ``rows`` is what `digested` gives for the same documents, where the caller has it.
+    """
+    rows = digested(docs, text, doc_id, block) if rows is None else rows
     # Numbers for the distinct blocks, in the order of their content.
-    names = blocks.select("block").distinct().sortWithinPartitions("block")
-    names = stored(names.select(F.unhex(F.sha2("block", 256)).alias("digest"), F.monotonically_increasing_id().alias("name")), "names")
+    names = _cut(docs, text, doc_id, block).select(F.explode("cut").alias("block")).distinct().sortWithinPartitions("block")
+    names = stored(names.select(_digest(F.col("block")).alias("digest"), F.monotonically_increasing_id().alias("name")), "names")
     if not names.groupBy("digest").count().where("count > 1").isEmpty():
         raise RuntimeError("one digest stands for two blocks")
-    at = blocks.select("doc_id", F.unhex("sha").alias("key"), "n", "pos", F.unhex(F.sha2("block", 256)).alias("digest"))
+    at = rows.select("doc_id", "key", F.size("digests").alias("n"), F.posexplode("digests").alias("pos", "digest"))
     level = at.join(names, "digest").select("doc_id", "key", "n", "pos", "name")
     done, rounds = [], 0
     while True:
@@ -72,8 +78,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bl
     Of equal texts the one with the most code points before normalisation stays, then the smallest doc_id. Rows are
     counted per (doc_id, digest, length) before they meet, so a group of any size sends a few rows from each task.
     """
-    ids = identities(docs, text, doc_id, block)
-    rows = _digested(docs, text, doc_id).groupBy("doc_id", "sha", "n_points").agg(F.count("*").alias("copies"))
+    rows = digested(docs, text, doc_id, block)
+    ids = identities(docs, text, doc_id, block, rows)
+    rows = rows.groupBy("doc_id", F.lower(F.hex("key")).alias("sha"), "n_points").agg(F.count("*").alias("copies"))
     rows = stored(joined(rows, ids, ["doc_id", "sha"]), "rows")
     best = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("q"), F.col("doc_id").alias("keep_id"))
     # Written first, so that the join deals both sides anew and a hot identity can be split.
