@@ -10,7 +10,9 @@ less ten and become byte pieces.
    equality with the piece table, and grouped by unit: the edges of the unit's lattice.
 3. A higher-order aggregate folds the edges, sorted by end: for each end it keeps the best edge, and of the totals only
    as many as a piece is long. A second fold walks back from the last end. Both fold blocks of edges inside a fold of
-   blocks, so the work grows with the length of a unit and not with its square.
+   blocks, so the work grows with the length of a unit and not with its square. A unit of more than LONG characters (a text
+   that pieces cover without a safe cut, as many equal characters) is not exploded: one row would hold all its edges. Its
+   lattice is folded in the same way by a function that looks its substrings up as it goes and holds a few numbers per character.
 4. Ids of units go back to the documents that use them, task by task, and replace the numbers.
 
 Decoding puts the bytes of the pieces one after the other.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,9 +40,10 @@ from .common import stored
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-# Different units and texts' bytes after which a task begins a new part; both bound what a reader holds.
-PART_UNITS, PART_BYTES = 150_000, 32 << 20
-BLOCK = 512
+# Different units, characters of them and of the words known, and characters of texts after which a task begins a new part;
+# they bound what a writer and a reader hold. Rows that a task is sent at once while it codes.
+PART_UNITS, PART_HELD, PART_BYTES, ROWS = 100_000, 4 << 20, 24 << 20, 256
+BLOCK, LONG = 512, 1024
 
 
 @dataclass
@@ -99,7 +103,7 @@ def _coded(inside: set[str], keep: int):
     whole = not any(p[1] == SPACE and p[0] != SPACE for p in inside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number, held = TaskContext.get().partitionId() << 32, 0, 0
+        base, number, held, kept = TaskContext.get().partitionId() << 32, 0, 0, 0
         numbers: dict[str, int] = {}
         known: dict[str, list[int]] = {}
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -124,14 +128,15 @@ def _coded(inside: set[str], keep: int):
                             if got is None:
                                 got = [numbers.setdefault(u, len(numbers)) for u in units_of(word, inside)]
                                 known[word] = got
+                                kept += len(word)
                             out += got
                         held += len(text)
                     codes.append(pack(np.array(out, "<u4").tobytes()))
                 own = [pa.array([base + number] * len(codes)), pa.array([-1] * len(codes), pa.int32()), pa.nulls(len(codes), pa.string()), pa.array(codes, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], *own], names=names)
-                if len(numbers) > PART_UNITS or held > PART_BYTES:
+                if len(numbers) > PART_UNITS or kept > PART_HELD or held > PART_BYTES:
                     yield units(part)
-                    numbers, known, number, held = {}, {}, number + 1, 0
+                    numbers, known, number, held, kept = {}, {}, number + 1, 0, 0
         if numbers:
             yield units(batch)
 
@@ -223,6 +228,52 @@ def viterbi(arcs: Column, longest: int) -> Column:
     return F.element_at(F.transform(F.array(path), walked), 1)
 
 
+def long_path(unit: str, scores: dict[str, tuple[float, int]], longest: int, unknown: float) -> list[int]:
+    """`viterbi` of one unit, without its edges in one row: the same sums and the same choice among equals."""
+    n = len(unit)
+    total, size, ids = np.zeros(n + 1), np.zeros(n + 1, np.int16), np.zeros(n + 1, np.int32)
+    for end in range(1, n + 1):
+        best = None
+        for k in range(1, min(end, longest) + 1):
+            found = scores.get(unit[end - k : end])
+            if found is None and k == 1:
+                found = (unknown, -1 - ord(unit[end - 1]))
+            if found is not None:
+                here = (total[end - k] + found[0], k, found[1])
+                best = here if best is None or here > best else best
+        total[end], size[end], ids[end] = best
+    out, end = [], n
+    while end:
+        out.append(int(ids[end]))
+        end -= int(size[end])
+    return out[::-1]
+
+
+def _long_paths(pieces: Pieces):
+    scores = {s: (float(x), i) for i, (s, x, n) in enumerate(zip(pieces.strings, pieces.scores, pieces.normal)) if n}
+    longest, unknown = pieces.longest, pieces.unknown_score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in batch.column(0):
+                ids = long_path(unit.as_py(), scores, longest, unknown)
+                yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()]), pa.array([ids], pa.list_(pa.int32()))], names=["key", "ids"])
+
+    return run
+
+
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int):
+    """Jobs run inside send Python workers at most ``rows`` rows at once: whole texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _joined(byte_ids: list[int], keep: int):
     """Unit numbers to ids; rows come by part, its units before its documents."""
 
@@ -288,11 +339,14 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: Sequence[s
     coded = docs.select(*keep, F.col(f"`{text}`").alias("__text")).mapInArrow(
         _coded(pieces.inside, len(keep)), f"{schema}, __part long, __at int, __unit string, __codes binary"
     )
-    coded = stored(coded, "coded")
+    with _small_batches(spark, ROWS):
+        coded = stored(coded, "coded")
     units = coded.where("__at >= 0").select("__part", "__at", F.col("__unit").alias("unit"))
     different = units.select("unit").repartition(parts, "unit").distinct()
-    arcs = lattice(different, pieces.table(spark), pieces.longest, pieces.unknown_score)
+    arcs = lattice(different.where(F.char_length("unit") <= LONG), pieces.table(spark), pieces.longest, pieces.unknown_score)
     solved = stored(arcs.select(F.col("unit").alias("key"), viterbi(F.col("arcs"), pieces.longest).alias("ids")), "solved")
+    long = units.where(F.char_length("unit") > LONG).select("unit").distinct()
+    solved = solved.unionByName(stored(long.mapInArrow(_long_paths(pieces), "key string, ids array<int>"), "solved"))
     found = units.join(solved, F.col("unit") == F.col("key"))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields]
     sent = found.select(*blank, "__part", "__at", F.lit(None).cast("binary").alias("__codes"), "ids")

@@ -1,7 +1,8 @@
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from rankloom.llm.pieces import Pieces, decode, encode
+from rankloom.llm.pieces import LONG, Pieces, decode, encode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, ids string, unit string"
@@ -70,3 +71,13 @@ def test_ids_equal_the_library_on_the_same_pieces(spark):
 def test_empty_table(spark):
     pieces = Pieces.load(PATH)
     assert decode(encode(spark.createDataFrame([], SCHEMA), pieces), pieces).count() == 0
+
+
+def test_very_long_units(spark):
+    """A unit above LONG characters gives what the library gives, as one just below does."""
+    library, draw = unigram_of(PATH), np.random.default_rng(3)
+    rows = [(1, "a" * 300_000), (2, "".join(draw.choice(list("abcdefghij北"), 100_000))), (3, "b" * (LONG - 1)), (4, "b" * (LONG + 1)), (5, "word " * 60_000)]
+    pieces = Pieces.load(PATH)
+    df = spark.createDataFrame([(*r, "i", "u") for r in rows], SCHEMA)
+    got = {r.doc_id: (r.ids, r.decoded) for r in decode(encode(df, pieces), pieces).collect()}
+    assert got == {i: (library.encode(t), t) for i, t in rows}
