@@ -7,10 +7,10 @@
    which joins most of a group without making its pairs. Then only buckets that still hold several components are
    opened: classes outside a bucket's main component meet the rest of the bucket.
 4. A candidate stays if the sizes allow the similarity and if the share of equal low bits, corrected for chance
-   collisions, is not far below it. In opened buckets the shingles that one class alone has bound the similarity from
-   above, and two classes must share one of their rarest shingles, as similar sets do (the prefix filter of set
-   joins); both spare heavily edited copies the comparison with their whole group and lose no link. Every link left
-   is confirmed by the intersection of the full sets.
+   collisions, is not far below it. Candidates of the first step are confirmed by the intersection of the full sets.
+   In opened buckets each class carries how its full set differs from the set of the bucket's smallest class; two such
+   differences give the exact intersection of two sets, so the join itself confirms and only links leave it. Two
+   classes meet in the smallest bucket they share.
 5. Connected components of the links give each document the smallest doc_id that it reaches.
 
 The number of bands follows from the similarity: at the threshold a link is missed by all bands with probability MISS.
@@ -187,25 +187,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(met * 100 >= (F.size("left") + F.size("right") - met) * percent).select("a", "b")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, own, prefix): how many shingles no other set has, and so many of the rarest that similar sets must share one.
+def _edits(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, cid, base, kept, edits): the hub's set size, what a class shares with the hub, and what only one of both has."""
+    sides = open_.select("hub", "cid").distinct()
+    both = sides.join(sets, "cid").join(sets.select(F.col("cid").alias("hub"), F.col("names").alias("of")), "hub")
+    both = both.withColumn("gained", F.array_except("names", "of"))
+    kept = (F.size("names") - F.size("gained")).cast("long")
+    edits = F.concat("gained", F.array_except("of", "names"))
+    return both.select("hub", "cid", F.size("of").cast("long").alias("base"), kept.alias("kept"), edits.alias("edits"))
 
-    Similar sets share at least ``percent`` in a hundred of each; what is left over, and one more, is the prefix.
-    Sets with more shingles of their own than that are similar to no other and are left out.
-    """
-    long = sets.select("cid", F.explode("names").alias("name"))
-    rare = long.groupBy("name").agg(F.count("*").alias("df"))
-    ranked = long.join(rare, "name").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "name"))).alias("names"))
-    length = F.size("names") - F.ceil(F.size("names") * percent / 100) + 1
-    own = F.size(F.filter("names", lambda x: x["df"] == 1))
-    found = ranked.select("cid", own.alias("own"), F.size("names").alias("n"), F.slice(F.col("names.name"), F.lit(1), length.cast("int")).alias("prefix"))
-    return found.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent).drop("n")
 
+def _similar(percent: int) -> Column:
+    """Whether two classes of a bucket are similar enough, exactly, by how each differs from the bucket's hub.
 
-def _overlap_possible(percent: int) -> Column:
-    """Whether two sets can be similar enough: what only one of them has is never shared and always in the union."""
-    mine, other = F.col("l.n") - F.col("l.own"), F.col("r.n") - F.col("r.own")
-    return F.least(mine, other) * 100 >= (F.col("l.own") + F.col("r.own") + F.greatest(mine, other)) * percent
+    What both share is what both kept of the hub and what both gained; kept by both is all of the hub but what one of them
+    lost, so shared = kept + kept - base + equal edits. The most that edits can agree is tried first.
+    """
+    kept, need = F.col("l.kept") + F.col("r.kept") - F.col("l.base"), (F.col("l.n") + F.col("r.n")) * percent
+    most = F.least(*[F.col(f"{s}.base") - F.col(f"{s}.kept") for s in "lr"]) + F.least(*[F.col(f"{s}.n") - F.col(f"{s}.kept") for s in "lr"])
+    equal = F.size(F.array_intersect("l.edits", "r.edits"))
+    return ((kept + most) * (100 + percent) >= need) & ((kept + equal) * (100 + percent) >= need)
 
 
 def _with_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -228,20 +229,21 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     first = stored(_confirmed(near, sets, percent), "links")
     # Buckets that still hold several components: what is outside the main one meets all others.
     roots = components(first)
-    state = members.join(roots, members["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    state = members.join(roots, members["cid"] == roots["node"], "left").select("key", "cid", "hub", F.coalesce("root", "cid").alias("root"))
     state = stored(state, "state")
     main = state.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
     main = main.agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     open_ = stored(state.join(main, "key"), "open")
-    sets = _full_sets(open_.select("cid"), docs, classes, width)
-    open_ = stored(open_.join(classes.select("cid", "n", "bits"), "cid").join(_prefixes(sets, percent), "cid"), "open")
+    edits = _edits(open_, _full_sets(open_.select("cid"), docs, classes, width))
+    opened = open_.groupBy("cid").agg(F.collect_list("key").alias("opened"))
+    open_ = stored(open_.join(classes.select("cid", "n", "bits"), "cid").join(opened, "cid").join(edits, ["hub", "cid"]), "open")
     l, r = open_.where("root <> main").alias("l"), open_.alias("r")
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
     once = (F.col("r.root") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid"))
-    share = _overlap_possible(percent) & F.arrays_overlap("l.prefix", "r.prefix")
-    met = l.join(r, apart & once & likely("l", "r", bands * rows, percent) & share)
-    met = met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-    second = _confirmed(met.join(tried, ["a", "b"], "left_anti"), sets, percent)
+    # Two classes of different components share opened buckets only; they meet in the smallest of these.
+    here = F.col("l.key") == F.array_min(F.array_intersect("l.opened", "r.opened"))
+    second = l.join(r, apart & once & likely("l", "r", bands * rows, percent) & here & _similar(percent))
+    second = second.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b"))
     return first.unionByName(stored(second, "links"))
 
 
