@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import word_tokens
+from ..functions.text import WORD, word_text, word_tokens
 from ..session import broadcast_if_small, colocate, settle
 from ..settings import MAX_DF, MAX_FEATURES, MIN_DF
 from .numbering import HOT_ROWS, number_within
@@ -69,6 +69,25 @@ def word_terms(df: DataFrame, analyzer: Analyzer, text: str = "text", out: str =
     return df.withColumn(out, F.concat(*grams)).drop("__g1", *grams)
 
 
+def _word_rows(df: DataFrame, keep: Sequence[str], analyzer: Analyzer, text: str) -> DataFrame:
+    """One row per word n-gram. Long texts are cut between words first; a piece carries the next few words beside
+    its own, and each n-gram belongs to the piece of its first word, so no array of words or n-grams grows with the text."""
+    letter = WORD.removesuffix("+")
+    spaced = word_text(F.regexp_replace(text, f"(?<!{letter}){letter}(?!{letter})", " "))
+    # Own words, a mark, the words ahead, a mark; neither mark is a word character.
+    marked = F.regexp_replace(spaced, r"(\S.{0,%d}\S*+)(?=((?: \S++){0,%d}))" % (_PIECE - 1, analyzer.hi - 1), "$1\x01$2\x02")
+    pieces = df.select(*keep, F.explode(F.filter(F.split(marked, "\x02"), lambda p: p != "")).alias("__p"))
+    words = F.split(F.ltrim(F.replace("__p", F.lit("\x01"), F.lit(""))), " ")
+    own = F.size(F.split(F.ltrim(F.substring_index("__p", "\x01", 1)), " "))
+    pieces = pieces.select(*keep, words.alias("__g1"), own.alias("__own"))
+    grams = []
+    for n in range(analyzer.lo, analyzer.hi + 1):
+        last = F.least("__own", F.size("__g1") - n + 1)
+        cut = F.slice("__g1", F.lit(1), F.col("__own")) if n == 1 else F.transform(F.sequence(F.lit(1), last), _joined_words(n))
+        grams.append(F.when(last >= 1, cut).otherwise(F.array().cast("array<string>")))
+    return pieces.select(*keep, F.explode(F.concat(*grams)).alias("term"))
+
+
 def _windows(text: Column, n: int) -> Column:
     """All runs of ``n`` code points, by a look-ahead at every position."""
     return F.regexp_extract_all(text, F.lit(r"(?s)(?=(\P{Cs}.{%d}))" % (n - 1)), F.lit(1))
@@ -100,10 +119,7 @@ def term_rows(df: DataFrame, keep: Sequence[str], analyzer: Analyzer, text: str
     keep = list(keep)
     if analyzer.kind == "char":
         return _char_rows(df, keep, analyzer, text)
-    df, grams = _word_grams(df, analyzer, text)
-    # An expression, not a column: for a column the optimizer adds a filter on its
-    # size, pushes it down, and cuts every text into terms twice.
-    return df.select(*keep, F.explode(F.concat(*grams)).alias("term"))
+    return _word_rows(df, keep, analyzer, text)
 
 
 def term_counts(

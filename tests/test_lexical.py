@@ -161,3 +161,27 @@ def test_texts_are_shuffled_once(spark):
 def test_bad_analyzer():
     with pytest.raises(ValueError):
         G.Analyzer("word", 3, 1)
+
+
+@pytest.mark.parametrize("lo,hi", [(1, 3), (2, 2), (1, 1)])
+def test_word_ngrams_of_long_texts_cross_the_cuts(spark, lo, hi):
+    """Pieces carry the words ahead: texts around a cut, one very long word, single letters, and marks in the text."""
+    rng = random.Random(lo * 10 + hi)
+    words = ["w%d" % i for i in range(40)] + ["q", "é", "été", "_x", "😀ab", "日本"]
+    mixed = "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "\x01", "\x02", "  "]) for _ in range(6 * G._PIECE))
+    texts = [mixed, "ab " * 3000, "z" * (3 * G._PIECE) + " tail end", "a b " * G._PIECE + "last two", "x" * (G._PIECE - 3) + " yy zz", "one", "a", " ", "", None]
+    df = spark.createDataFrame([*enumerate(texts)], "id int, text string")
+    analyzer = G.Analyzer("word", lo, hi)
+    got = {(r.id, r.term): r.tf for r in G.term_counts(df, ["id"], analyzer).collect()}
+    want = Counter()
+    for i, t in enumerate(texts):
+        kept = [w for w in re.findall(r"\w+", t or "") if len(w) > 1]
+        want.update((i, " ".join(kept[j : j + n])) for n in range(lo, hi + 1) for j in range(len(kept) - n + 1))
+    assert got == want
+
+
+def test_a_million_words(spark):
+    text = "alpha beta " * 500_000
+    got = {r.term: r.tf for r in G.term_counts(spark.createDataFrame([(1, text)], "id int, text string"), ["id"], G.WORDS).collect()}
+    n = 500_000
+    assert got == {"alpha": n, "beta": n, "alpha beta": n, "beta alpha": n - 1, "alpha beta alpha": n - 1, "beta alpha beta": n - 1}
