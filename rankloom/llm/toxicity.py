@@ -89,7 +89,7 @@ def _features(ratio: np.ndarray):
         for batch in batches:
             found = [words.buckets(t.as_py()) for t in batch.column(0)]
             found = [at[ratio[at] != 0] for at in found]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], names=["at", "toxic", "of"])
 
     return run
 
@@ -179,8 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     most = min(keys[1], max(1, sample // 2, sample - keys.get(0, 0)))
     first = known.orderBy(F.xxhash64("__of"), "__of")
     drawn = F.broadcast(first.where("__toxic = 1").limit(most).unionByName(first.where("__toxic = 0").limit(sample - most)))
-    part = mine.join(drawn, F.col("__id") == F.col("__of")).select("__text", "__toxic")
-    part = part.mapInArrow(_features(ratio), "at array<int>, toxic int").toPandas()
+    part = mine.join(drawn, F.col("__id") == F.col("__of")).select("__text", "__toxic", "__of")
+    part = part.mapInArrow(_features(ratio), f"at array<int>, toxic int, of {part.schema['__of'].dataType.simpleString()}")
+    # One row for each drawn doc_id, however many rows share it, so the bound holds for rows too.
+    part = part.groupBy("of").agg(F.min("at").alias("at"), F.min("toxic").alias("toxic")).toPandas().sort_values("of")
     sets = [np.asarray(a, np.int64) for a in part["at"]]
     toxic = part["toxic"].to_numpy().astype(np.int64)
     points = np.array([(ratio[s] > POINTS).sum() for s in sets])

@@ -1,5 +1,6 @@
 import numpy as np
 
+from rankloom.llm import toxicity
 from rankloom.llm.toxicity import LIMIT, fit_ordinal, train, with_severity
 
 SCHEMA = "doc_id long, text string, severity string, __toxic int"
@@ -88,3 +89,15 @@ def test_labels_without_documents_have_no_part_in_the_sample(spark):
     far = [(i, 1) for i in range(10_000, 20_000)]
     one, two = (train(df, spark.createDataFrame(x, "doc_id long, toxic int"), sample=100) for x in (labels, labels + far))
     assert one.weight.any() and np.allclose(one.weight, two.weight) and np.allclose(one.cuts, two.cuts)
+
+
+def test_rows_that_share_a_doc_id_do_not_widen_the_sample(spark, monkeypatch):
+    """A doc_id that holds a third of all rows reaches the fit once."""
+    rows, labels = corpus(600)
+    rows += [(8, "vileone and number %d" % i) for i in range(300)]
+    df = spark.createDataFrame([(*r, "s", 0) for r in rows], SCHEMA)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda sets, *a: seen.append(len(sets)) or fit_ordinal(sets, *a))
+    for sample in (100, 20_000):
+        train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=sample)
+    assert seen == [100, 600]
