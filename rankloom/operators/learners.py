@@ -91,7 +91,7 @@ def has_stopped(losses: Sequence[float], rounds: int = STOP_ROUNDS) -> bool:
     return best_round(losses, rounds) + rounds <= len(losses)
 
 
-def _one_tree(estimator: GBTRegressor) -> RandomForestRegressor:
+def one_tree(estimator: GBTRegressor) -> RandomForestRegressor:
     """A single tree with the settings of a boosted learner's trees."""
     return RandomForestRegressor(
         featuresCol=estimator.getFeaturesCol(),
@@ -119,7 +119,7 @@ def fit_early_stopped(
     more than the kept trees, ``rounds`` and a chunk are fitted, whatever the number of trees asked for.
     """
     features, label, rate, most = estimator.getFeaturesCol(), estimator.getLabelCol(), estimator.getStepSize(), estimator.getMaxIter()
-    one, so_far = _one_tree(estimator), F.lit(0.0).alias("__so_far")
+    one, so_far = one_tree(estimator), F.lit(0.0).alias("__so_far")
     train, valid = (settle(df.select(features, F.col(label).cast("double").alias(label), so_far)) for df in (train, valid))
     trees: list[RandomForestRegressionModel] = []
     losses: list[float] = []
@@ -176,6 +176,8 @@ def fit_folds(
 
     def fit(f: int):
         train, valid = tables(f)
+        if early_stopping and hasattr(estimator, "fit_stopped"):
+            return estimator.fit_stopped(train, valid, rounds)
         if early_stopping:
             return fit_early_stopped(estimator, train, valid, rounds)[0]
         return estimator.fit(train)

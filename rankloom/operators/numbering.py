@@ -25,7 +25,7 @@ _AT, _SLICE, _FIRST, _BEFORE = "__at", "__slice", "__first", "__before"
 _PARTITION_BITS = 33
 
 
-def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
     pairs = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)]
     return reduce(lambda a, b: a & b, pairs, F.lit(True))
 
@@ -45,7 +45,7 @@ def _number_by_sort(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     earlier = W.partitionBy(*group).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.withColumn(_BEFORE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
     return (
-        placed.join(slices, _same([*keys, _SLICE], [*group, "__s"]))
+        placed.join(slices, same_keys([*keys, _SLICE], [*group, "__s"]))
         .withColumn(name, F.col(_AT) - F.col(_FIRST) + F.col(_BEFORE) + 1)
         .select(*df.columns, name)
     )
@@ -62,7 +62,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> t
         return df, None
     marks = [f"__h{i}" for i in range(len(keys))]
     hot = settle(sizes.select(*[F.col(k).alias(m) for k, m in zip(keys, marks)]))
-    return df.join(hot, _same(keys, marks), "left_anti"), df.join(hot, _same(keys, marks), "left_semi")
+    return df.join(hot, same_keys(keys, marks), "left_anti"), df.join(hot, same_keys(keys, marks), "left_semi")
 
 
 def number_within(
@@ -118,6 +118,6 @@ def earlier_values(
     found = sent.groupBy(*marks, F.col("__at").alias("__to")).agg(
         *[F.max(F.when(F.col("__step") == n, F.col("__v"))).alias(name) for n, name in names.items()]
     )
-    joined = placed.join(found, _same([*keys, "__at"], [*marks, "__to"]), "left")
+    joined = placed.join(found, same_keys([*keys, "__at"], [*marks, "__to"]), "left")
     filled = {name: F.when(F.col("__at") <= n, F.lit(default)).otherwise(F.col(name)) for n, name in names.items()}
     return cold.unionByName(joined.withColumns(filled).select(*cold.columns))

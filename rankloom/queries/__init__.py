@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blending, embedding, files, folds, graph, lexical, models, ranking, text  # noqa: F401
+from . import blending, embedding, files, folds, graph, lexical, models, objectives, ranking, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -228,7 +228,7 @@ def gbt_early_stop(spark, sf):
     return spark.createDataFrame(out, "fold int, by_rule boolean, ended_by_rule boolean, few_enough boolean, same_score boolean")
 
 
-_HELD = f"WITH {_KNOWN} SELECT context_id, reply_id, true AS in_order FROM known WHERE NOT known"
+HELD_SQL = f"WITH {_KNOWN} SELECT context_id, reply_id, true AS in_order FROM known WHERE NOT known"
 
 
 def submitted(spark, ranked):
@@ -252,7 +252,7 @@ def holdout_score(spark, sf):
     return T.holdout_scores(models, holdout).select("context_id", "reply_id", F.col("rank").between(-4, 2).alias("scored"))
 
 
-@query("embedding_ranker", _HELD)
+@query("embedding_ranker", HELD_SQL)
 def embedding_ranker(spark, sf):
     """Boosted trees of the preset on sentence vectors, up to the submission."""
     rows, holdout, folds = embedded(spark, sf)
@@ -269,7 +269,7 @@ def _ranked_by_fold(spark, name, train, holdout, folds, fit, estimator, scale=Fa
 LEXICAL = LexicalSettings()
 
 
-@query("lexical_ranker", _HELD)
+@query("lexical_ranker", HELD_SQL)
 def lexical_ranker(spark, sf):
     """Boosted trees on SVD scores fitted fold by fold, up to the submission."""
     train, holdout, folds = dialogue_rows(spark, sf)
@@ -277,7 +277,7 @@ def lexical_ranker(spark, sf):
     return _ranked_by_fold(spark, "lexical", train, holdout, folds, fit, M.boosted("lexical", trees=TREES))
 
 
-@query("raw_lexical_ranker", _HELD)
+@query("raw_lexical_ranker", HELD_SQL)
 def raw_lexical_ranker(spark, sf):
     """Sparse TF-IDF weights of the whole vocabularies into the linear learner, whose work grows with the non-zeros."""
     train, holdout, folds = dialogue_rows(spark, sf)
@@ -285,7 +285,7 @@ def raw_lexical_ranker(spark, sf):
     return _ranked_by_fold(spark, "raw", train, holdout, folds, fit, M.linear(ridge=0.1))
 
 
-@query("word_vector_ranker", _HELD)
+@query("word_vector_ranker", HELD_SQL)
 def word_vector_ranker(spark, sf):
     """Early-stopped trees on weighted word vectors, up to the submission."""
     train, holdout, folds = dialogue_rows(spark, sf)
@@ -293,7 +293,7 @@ def word_vector_ranker(spark, sf):
     return _ranked_by_fold(spark, "word-vectors", train, holdout, folds, fit, M.boosted("word_vectors"), early_stopping=True)
 
 
-@query("mixed_ranker", _HELD)
+@query("mixed_ranker", HELD_SQL)
 def mixed_ranker(spark, sf):
     """SVD scores beside sentence vectors, scaled to unit variance, up to the submission."""
     train, holdout, folds = dialogue_rows(spark, sf)
@@ -301,7 +301,7 @@ def mixed_ranker(spark, sf):
     return _ranked_by_fold(spark, "mixed", train, holdout, folds, fit, M.boosted("mixed", trees=TREES), scale=True)
 
 
-@query("sparse_mixed_ranker", _HELD)
+@query("sparse_mixed_ranker", HELD_SQL)
 def sparse_mixed_ranker(spark, sf):
     """Sparse TF-IDF weights beside sentence vectors into the linear learner."""
     train, holdout, folds = dialogue_rows(spark, sf)
@@ -315,7 +315,7 @@ def _blended(spark, sf):
     return T.blend_and_rank(lambda f: (D.train_rows(rows, f), D.valid_rows(rows, f)), learners, folds, lambda f: holdout, parallelism=8)
 
 
-@query("blend_models", _HELD)
+@query("blend_models", HELD_SQL)
 def blend_models(spark, sf):
     """Four learners per fold, the best of them or of their blends, up to the submission."""
     return submitted(spark, _blended(spark, sf).ranked)

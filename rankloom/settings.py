@@ -15,6 +15,9 @@ MAX_DF = 0.9
 STOP_ROUNDS = 5
 VECTOR_WIDTH = 300
 NDCG_SCALE = 100_000
+# Places that count in the ranking objective, and trees of a forest.
+RANK_POSITIONS = 20
+FOREST_TREES = 1000
 
 # Trees that are fitted between two looks at the valid loss.
 STOP_CHUNK = 5
