@@ -152,7 +152,8 @@ def side_by_side(fit: Callable, tasks: Sequence, parallelism: int) -> list:
     """``fit`` of every task, ``parallelism`` of them at a time; the cluster shares its cores between their jobs."""
     if parallelism <= 1:
         return [fit(t) for t in tasks]
-    session = SparkSession.getActiveSession()
+    # A task that itself runs tasks side by side has no active session of its own.
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(inheritable_thread_target(session)(fit), tasks))
 
