@@ -115,7 +115,7 @@ def fit_ranked(
     """Trees that raise NDCG at ``task.k``; with ``valid``, until ``rounds`` of them in a row do not, and the best round.
 
     A tree is fitted on gradient over curvature, weighted by curvature, so that a leaf takes the Newton step of its rows. Rows
-    without a gradient tell a tree nothing and stay out; once none has one, training ends. Losses are one less mean NDCG.
+    without a gradient tell a tree nothing and stay out; once none has one, training ends, and without any all scores are 0. Losses are one less mean NDCG.
     """
     features, rate, most = estimator.getFeaturesCol(), estimator.getStepSize(), estimator.getMaxIter()
     keep = list(dict.fromkeys([*task.context, task.tie, task.gain, features]))
@@ -148,7 +148,8 @@ def fit_ranked(
         if names:
             tables[1] = tables[1].drop(*names)
     if not trees:
-        raise ValueError("no context holds different gains")
+        # No context holds different gains: one tree without a split scores all rows alike.
+        trees = [one.fit(tables[0].select(features, F.lit(1.0).alias("__weight"), F.lit(0.0).alias("__residual")))]
     kept = best_round(losses, rounds) if valid is not None else len(trees)
     return TrimmedBoost(ensemble(trees[:kept], [rate] * kept, features), kept, len(trees)), losses
 
