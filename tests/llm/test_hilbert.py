@@ -40,11 +40,61 @@ def test_few_rows_none_and_same_again(spark):
 
 def test_files_cover_small_boxes(spark, tmp_path):
     rows = [(i, "word " * (i * 37 % 400), ["de", "en", "es", "fr"][i % 4], f"src{i * 7 % 20}", "p", 1) for i in range(4000)]
-    df = spark.createDataFrame(rows, SCHEMA).drop("shard")
+    df = spark.createDataFrame(rows, SCHEMA)
     placed = sharded(df, document_dims(df), 16)
     write_shards(df, placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 4000 and sorted(back.columns) == sorted([*df.columns, "shard", "slot"])
+    assert back.count() == 4000 and sorted(back.columns) == sorted([*df.drop("shard").columns, "doc_shard", "shard", "slot"])
+    assert {r.doc_shard for r in back.select("doc_shard").distinct().collect()} == {1}
     # Langs per shard: random cuts would show all four in each.
     seen = back.groupBy("shard").agg(F.countDistinct("lang").alias("n")).agg(F.avg("n")).first()[0]
     assert seen <= 2.5
+
+
+def plain_place(point, bits):
+    """Place on the curve, found by walking the cubes from the largest down: which corner, then turn and mirror."""
+    x, n = list(point), len(point)
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for b in range(bits - 1, 0, -1):
+        if x[-1] >> b & 1:
+            t ^= (1 << b) - 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_rows_stand_as_a_plain_sort_puts_them(spark):
+    rows = [(i, "t" * (i * 7 % 300), ["en", "de", None][i % 3], "hot" if i % 3 else f"source_{i % 40}", "p", 1) for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in sharded(df, [F.col("lang"), F.col("source"), F.col("doc_id")], 16).collect()}
+    steps = []
+    for column in ([r[2] for r in rows], [r[3] for r in rows], [r[0] for r in rows]):
+        at = {v: i for i, v in enumerate(sorted({v for v in column if v is not None}))}
+        most = max(len(at) - 1, 1)
+        steps.append([0 if v is None else min(at[v] * 256 // most, 255) for v in column])
+    places = [plain_place(p, 8) for p in zip(*steps)]
+    assert [got[i].place for i in range(1200)] == places
+    order = sorted(got.values(), key=lambda r: (r.shard, r.slot))
+    assert [r.place for r in order] == sorted(places)
+
+
+def test_sources_with_a_common_beginning_come_apart(spark):
+    rows = [(i, "same", "en", f"https://example.org/{i % 200:03d}", "p", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    places = {(r.place, rows[r.doc_id][3]) for r in sharded(df, [F.col("source"), F.col("lang")], 16).collect()}
+    assert len({p for p, _ in places}) == 200
+
+
+def test_a_very_long_text(spark):
+    rows = [(i, "a", "en", "s", "p", 1) for i in range(20)] + [(99, "long " * 1_000_000, "en", "s", "p", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in sharded(df, document_dims(df), 4).collect()}
+    assert got[99]["size"] == 5_000_001 and got[99].text_crc32 == zlib.crc32(b"long " * 1_000_000)
