@@ -13,8 +13,8 @@ The share of each order read is a constant of the operator: it sets the recall,
 measured recall.
 
 Defined cases: null vectors, vectors of another length than most, zero vectors and vectors with null, NaN or infinite
-components take no part, neither as queries nor as candidates; null ids take no part; rows that share an id are one
-candidate, the largest score counts; with fewer candidates than k all are returned; an empty table gives no rows.
+components take no part, neither as queries nor as candidates; null ids take no part; of rows that
+share an id the smallest vector counts, as query and as candidate; with fewer candidates than k all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ Prefix sums of a source of any size: keys are mapped to ``BUCKETS`` buckets by a
 the map tasks, and only rows of one bucket of one source meet in a window.
 
 Defined cases: null text has size 0 and takes 0 words; a null or not positive quality counts as 1; a null source is a
-source of its own and comes last; equal rows have equal keys and are told apart by their number alone, so the set of rows
-is the same at each run; a table without words, or an empty one, takes nothing; other columns pass through `mix`.
+source of its own and comes last; rows that share doc_id and source draw by their texts; equal rows have equal keys and
+are told apart by their number alone, so the set of rows is the same at each run; a very long text is read once, for its size
+and digest; a table without words, or an empty one, takes nothing; other columns pass through `mix`.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
 
 
 def _sized(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), digest.alias("digest"))
 
 
 def mix(
@@ -80,7 +82,7 @@ def mix(
         weight = quality.groupBy(F.col("doc_id").alias("of")).agg(F.max("weight").alias("weight"))
         base = base.join(weight, F.col("doc_id") == F.col("of"), "left").drop("of")
         base = base.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0))
-    shown = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")))
+    shown = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), "digest")
     draw = F.conv(F.substring(F.md5(shown), 1, 13), 16, 10).cast("double")
     base = base.withColumn("key", -F.log((draw + 0.5) / float(1 << 52)) / F.col("weight"))
     base = stored(base.select("doc_id", "source", "size", "key"), "sizes")
@@ -108,9 +110,10 @@ def apply_mix(docs: DataFrame, taken: DataFrame, text: str = "text", source: str
     copies = taken.where("taken > 0").select("doc_id", "source", "size", F.ceil(F.col("taken") / F.col("size")).alias("n"))
     copies = copies.groupBy("doc_id", "source", "size").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
     copies = copies.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("__n"))
-    mine = docs.withColumn("__size", words(F.col(f"`{text}`")))
-    on = mine[doc_id].eqNullSafe(copies["__d"]) & mine[source].eqNullSafe(copies["__s"]) & (mine["__size"] == copies["__z"])
-    return mine.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    # All columns of a document travel as one, so none of them can clash with the names here.
+    mine = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{source}`").alias("__source"), words(F.col(f"`{text}`")).alias("__size"), F.struct("*").alias("__row"))
+    on = F.col("__id").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+    return mine.join(copies, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__row.*")
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

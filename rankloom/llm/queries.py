@@ -127,12 +127,13 @@ def content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op8_weighted_mix",
     r"""
     WITH docs AS (
-        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            md5(coalesce(text, '')) AS digest
         FROM documents),
     quality AS (
         SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM labels GROUP BY doc_id),
     keyed AS (
-        SELECT d.*, -ln((('0x' || substr(md5(concat('42|', coalesce(d.doc_id::VARCHAR, ''), '|', coalesce(source, ''))), 1, 13))::BIGINT + 0.5)
+        SELECT d.*, -ln((('0x' || substr(md5(concat('42|', coalesce(d.doc_id::VARCHAR, ''), '|', coalesce(source, ''), '|', digest)), 1, 13))::BIGINT + 0.5)
             / 4503599627370496.0::DOUBLE) / coalesce(weight, 1.0::DOUBLE) AS key
         FROM docs d LEFT JOIN quality q ON d.doc_id = q.doc_id),
     sizes AS (

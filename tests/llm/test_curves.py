@@ -48,3 +48,10 @@ def test_odd_vectors_ties_and_few_candidates(spark):
         (0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0), (20, 1, 3, 2.0), (20, 2, 0, 0.0), (20, 3, 1, 0.0),
     ]
     assert nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_one_id_with_two_vectors_counts_by_the_smaller(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [1.0, 5.0]), (2, [0.0, 3.0])]
+    df = spark.createDataFrame([(*r, 0, "s") for r in rows], SCHEMA)
+    got = nearest(df, F.col("id") % 20 == 0, k=3)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 5.0), (0, 2, 2, 3.0)]

@@ -86,3 +86,18 @@ def test_documents_without_words_go_and_the_stage_says_so(spark):
     out = apply_mix(df, mix(df, share=2)).collect()
     assert [r.doc_id for r in out] == [1, 1]
     assert "documents without words" in " ".join(mix_sources.__doc__.split())
+
+
+def test_texts_under_one_key_draw_apart(spark):
+    rows = [(None, f"word {i}", "hot") for i in range(300)] + [(i, "one two", "b") for i in range(300)]
+    df = frame(spark, rows)
+    got = mix(df, share=1.2).where("source = 'hot'").groupBy("taken").count().collect()
+    assert {r.taken: r["count"] for r in got} == {2: 180, 0: 120}
+
+
+def test_clashing_columns_of_the_documents_stay(spark):
+    rows = [(i, "one two three", "a", i, "x", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __copy string, __n int")
+    out = apply_mix(df, mix(df))
+    assert out.columns == df.columns
+    assert {(r.doc_id, r["__size"], r["__copy"], r["__n"]) for r in out.collect()} == {(i, i, "x", i) for i in range(20)}
