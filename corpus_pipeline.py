@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and gives the documents that go on; its result is written as Parquet and read
 again as the next stage's input. The last stage adds token ids.
+
+Defined cases are those of the operators' modules; what a stage makes of them is told with the stage. Whole texts are read,
+however long. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -15,19 +18,26 @@ from rankloom.llm.common import stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below the limit; the model is fitted on the labelled ones."""
+    """Documents whose expected severity is below the limit; the model is fitted on the labelled ones.
+
+    Null and empty texts have no features and are scored as such; equal texts get equal scores, so repeated rows go or stay
+    together; a score at the limit goes. All columns stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.with_severity(docs, model, name="__severity")
     return scored.where(F.col("__severity") < toxicity.LIMIT).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, white space aside."""
+    """One document of each group of equal texts, white space aside: the one with the most code points, then the smallest doc_id.
+
+    Null, empty and white texts are one group. All columns stay."""
     return exact.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more: the one with the smallest doc_id.
+
+    Documents without words are linked with nothing and stay. All columns stay."""
     return minhash.drop_near_copies(docs, width=5, percent=80)
 
 
@@ -39,7 +49,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text they decode to."""
+    """Token ids of every document, and the text they decode to; a copy that the mix took twice is encoded twice.
+
+    Null and empty texts have no ids. Of other columns lang, source and n_chars stay, as this is the last stage."""
     vocabulary = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     tokens = pieces.encode(docs, vocabulary, keep=["doc_id", "lang", "source", "n_chars"])
     return pieces.decode(tokens, vocabulary).withColumnRenamed("decoded", "text").withColumn("n_tokens", F.size("ids").cast("long"))
