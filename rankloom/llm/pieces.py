@@ -4,16 +4,19 @@ Encoding finds for every text the segmentation into pieces with the largest sum
 segmenter does on the same pieces; ties go to the longer last piece. Characters without a piece cost the smallest score
 less ten and become byte pieces.
 
-1. Texts become units. A cut between two characters is safe where no piece holds them side by side, so each unit can be
-   segmented for itself. Every task writes its documents as numbers of units and each of its different units once.
-2. The different units of all tasks are exploded into their substrings of at most the longest piece's length, joined on
-   equality with the piece table, and grouped by unit: the edges of the unit's lattice.
-3. A higher-order aggregate folds the edges, sorted by end: for each end it keeps the best edge, and of the totals only
-   as many as a piece is long. A second fold walks back from the last end. Both fold blocks of edges inside a fold of
-   blocks, so the work grows with the length of a unit and not with its square. A unit of more than LONG characters (a text
-   that pieces cover without a safe cut, as many equal characters) is not exploded: one row would hold all its edges. Its
-   lattice is folded in the same way by a function that looks its substrings up as it goes and holds a few numbers per character.
-4. Ids of units go back to the documents that use them, task by task, and replace the numbers.
+1. Each task cuts its texts into words, where no piece reaches from one into the next, and numbers the words it does not
+   know yet. What it knows stays with the worker from task to task, up to a bound (`words`).
+2. The new words of a batch become units. A cut between two characters is safe where no piece holds them side by side, so
+   each unit can be segmented for itself.
+3. From all characters of all units at once, a walk down the tree of pieces gives the edges of the lattices: one step for
+   each character of the longest piece, over the places where some piece may still go on.
+4. The edges are folded by end and size, all units side by side: for each end the best edge stays. A walk back from the
+   last ends, again side by side, marks the best paths. Few units have more than LONG characters (a text that pieces cover
+   without a safe cut, as many equal characters); they would make as many steps and are folded one at a time, by a
+   function that looks their substrings up as it goes and holds a few numbers per character.
+
+Words do not leave their task: on the corpora measured a word in 17 is new, and sending words and their ids between tasks
+took more than the texts themselves. So nothing is shuffled, and no key can be hot.
 
 Decoding puts the bytes of the pieces one after the other.
 
@@ -24,26 +27,27 @@ with the library; rows are never matched by doc_id, so nulls and repeats pass th
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
-from .common import stored
+from .words import WordIds, gathered
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-# Different units, characters of them and of the words known, and characters of texts after which a task begins a new part;
-# they bound what a writer and a reader hold. Rows that a task is sent at once while it codes.
-PART_UNITS, PART_HELD, PART_BYTES, ROWS = 100_000, 4 << 20, 24 << 20, 256
-BLOCK, LONG = 512, 1024
+# Rows that a task codes at once, words that a worker knows, characters of units that are folded side by side, and
+# characters of a unit that goes alone.
+ROWS, KNOWN, SIDE, LONG = 256, 400_000, 1 << 17, 64
+# Bits of a code point.
+_CHAR = 21
 
 
 @dataclass
@@ -75,10 +79,6 @@ class Pieces:
         """Pairs of neighbouring characters of the pieces: cuts between other pairs are safe."""
         return {s[i : i + 2] for s, n in zip(self.strings, self.normal) if n for i in range(len(s) - 1)}
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(s, i, float(x)) for i, (s, x, n) in enumerate(zip(self.strings, self.scores, self.normal)) if n]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
-
     @property
     def unknown_score(self) -> float:
         return min(x for x, n in zip(self.scores, self.normal) if n) - UNKNOWN_COST
@@ -91,145 +91,147 @@ class Pieces:
         return out
 
 
-def units_of(word: str, inside: set[str]) -> list[str]:
-    """Cut a word wherever no piece could reach across."""
-    cuts = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside], len(word)]
-    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
-def _coded(inside: set[str], keep: int):
-    """Documents as unit numbers, and each different unit of a part; the first ``keep`` columns pass through."""
-    coarse = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-    whole = not any(p[1] == SPACE and p[0] != SPACE for p in inside)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number, held, kept = TaskContext.get().partitionId() << 32, 0, 0, 0
-        numbers: dict[str, int] = {}
-        known: dict[str, list[int]] = {}
-        pack = zstandard.ZstdCompressor(level=3).compress
-        names = None
-
-        def units(like: pa.RecordBatch) -> pa.RecordBatch:
-            empty = [pa.nulls(len(numbers), c.type) for c in like.columns[:keep]]
-            own = [pa.array([base + number] * len(numbers)), pa.array(list(numbers.values()), pa.int32()), pa.array(list(numbers))]
-            return pa.RecordBatch.from_arrays([*empty, *own, pa.nulls(len(numbers), pa.binary())], names=names)
-
-        for batch in batches:
-            names = [*batch.schema.names[:keep], "__part", "__at", "__unit", "__codes"]
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                codes = []
-                for text in part.column(keep).to_pylist():
-                    out: list[int] = []
-                    if text:
-                        shown = SPACE + text.replace(" ", SPACE)
-                        for word in coarse.findall(shown) if whole else [shown]:
-                            got = known.get(word)
-                            if got is None:
-                                got = [numbers.setdefault(u, len(numbers)) for u in units_of(word, inside)]
-                                known[word] = got
-                                kept += len(word)
-                            out += got
-                        held += len(text)
-                    codes.append(pack(np.array(out, "<u4").tobytes()))
-                own = [pa.array([base + number] * len(codes)), pa.array([-1] * len(codes), pa.int32()), pa.nulls(len(codes), pa.string()), pa.array(codes, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *own], names=names)
-                if len(numbers) > PART_UNITS or kept > PART_HELD or held > PART_BYTES:
-                    yield units(part)
-                    numbers, known, number, held, kept = {}, {}, number + 1, 0, 0
-        if numbers:
-            yield units(batch)
-
-    return run
-
-
-def lattice(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """Edges of each unit's lattice: (unit, arcs), arcs of (end, size, score, id) sorted by end and size.
-
-    ``units`` is dealt by unit already, so nothing is shuffled again. A character without a piece gets an edge with a
-    negative id that holds its code point.
-    """
-    ends = units.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("end"))
-    cuts = ends.select("unit", "end", F.explode(F.sequence(F.lit(1), F.least("end", F.lit(longest)))).alias("size"))
-    cuts = cuts.withColumn("part", F.expr("substring(unit, end - size + 1, size)"))
-    # The piece table is a fixed vocabulary.
-    edges = cuts.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where("id is not null or size = 1")
-    code = F.conv(F.hex(F.encode("part", "UTF-32")), 16, 10).cast("int")
-    arc = F.struct("end", "size", F.coalesce("score", F.lit(unknown)).alias("score"), F.coalesce("id", -1 - code).alias("id"))
-    return edges.groupBy("unit").agg(F.array_sort(F.collect_list(arc)).alias("arcs"))
-
-
-def viterbi(arcs: Column, longest: int) -> Column:
-    """Ids of the best path through sorted arcs."""
-    step = "struct<size:int,id:int>"
-
-    def block(items: Column, i: Column) -> Column:
-        return F.slice(items, i * BLOCK + 1, F.lit(BLOCK))
-
-    def blocks(items: Column) -> Column:
-        return F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / BLOCK) - 1, F.lit(0)).cast("int"))
-
-    def forward(state: Column, arc: Column) -> Column:
-        fresh = arc["end"] != state["end"]
-        more = F.concat(state["totals"], F.array(state["best"]["total"]))
-        more = F.slice(more, F.greatest(F.size(more) - longest + 1, F.lit(1)), F.lit(longest))
-        totals = F.when(fresh & (state["end"] > 0), more).otherwise(state["totals"])
-        total = F.element_at(totals, -arc["size"]) + arc["score"]
-        found = F.struct(total.alias("total"), arc["size"].alias("size"), arc["id"].alias("id"))
-        best = F.when(fresh, found).otherwise(F.greatest(state["best"], found))
-        last = F.array(F.struct(state["best"]["size"].alias("size"), state["best"]["id"].alias("id")))
-        back = F.when(fresh & (state["end"] > 0), F.concat(state["back"], last)).otherwise(state["back"])
-        return F.struct(arc["end"].alias("end"), best.alias("best"), totals.alias("totals"), back.alias("back"))
-
-    none = F.array().cast(f"array<{step}>")
-    start = F.struct(
-        F.lit(0).alias("end"),
-        F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("size"), F.lit(0).alias("id")).alias("best"),
-        F.array(F.lit(0.0)).alias("totals"),
-        none.alias("back"),
-    )
-
-    def forward_block(state: Column, i: Column) -> Column:
-        inner = F.aggregate(block(arcs, i), state["now"], forward)
-        bound = F.transform(F.array(inner), lambda s: F.struct(
-            F.struct(s["end"].alias("end"), s["best"].alias("best"), s["totals"].alias("totals"), none.alias("back")).alias("now"),
-            F.concat(state["done"], F.array(s["back"])).alias("done"),
-        ))
-        return F.element_at(bound, 1)
-
-    first = F.struct(start.alias("now"), F.array().cast(f"array<array<{step}>>").alias("done"))
-    folded = F.aggregate(blocks(arcs), first, forward_block)
-
-    def steps(s: Column) -> Column:
-        last = F.array(F.struct(s["now"]["best"]["size"].alias("size"), s["now"]["best"]["id"].alias("id")))
-        return F.reverse(F.concat(F.flatten(s["done"]), last))
-
-    def backward(state: Column, at: Column) -> Column:
-        here = state["skip"] == 0
-        return F.struct(
-            F.when(here, at["size"] - 1).otherwise(state["skip"] - 1).alias("skip"),
-            F.when(here, F.concat(state["ids"], F.array(at["id"]))).otherwise(state["ids"]).alias("ids"),
-        )
-
-    nothing = F.array().cast("array<int>")
-
-    def walked(path: Column) -> Column:
-        def backward_block(state: Column, i: Column) -> Column:
-            begin = F.struct(state["skip"].alias("skip"), nothing.alias("ids"))
-            inner = F.aggregate(block(path, i), begin, backward)
-            bound = F.transform(F.array(inner), lambda s: F.struct(s["skip"].alias("skip"), F.concat(state["ids"], F.array(s["ids"])).alias("ids")))
-            return F.element_at(bound, 1)
-
-        begin = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<int>>").alias("ids"))
-        return F.reverse(F.flatten(F.aggregate(blocks(path), begin, backward_block)["ids"]))
-
-    # One-element arrays bind a value to a lambda variable, so that it is computed once.
-    path = F.element_at(F.transform(F.array(folded), steps), 1)
-    return F.element_at(F.transform(F.array(path), walked), 1)
+class Lattice:
+    """Best paths through the pieces of many words at once."""
+
+    def __init__(self, pieces: Pieces):
+        normal = [(s, float(x), i) for i, (s, x, n) in enumerate(zip(pieces.strings, pieces.scores, pieces.normal)) if n]
+        self.scores = {s: (x, i) for s, x, i in normal}
+        self.longest, self.unknown = pieces.longest, pieces.unknown_score
+        # The tree of pieces: (node, character) to node, and the piece that ends at a node. The root is 0.
+        nodes, ends = {}, [-1]
+        for s, _, i in normal:
+            node = 0
+            for c in s:
+                node = nodes.setdefault(node << _CHAR | ord(c), len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        self.step = np.array(sorted(nodes), np.int64)
+        self.node = np.array([nodes[k] for k in self.step.tolist()], np.int64)
+        self.piece = np.array(ends, np.int32)
+        self.score = np.array(pieces.scores, np.float64)
+        self.inside = np.array(sorted({ord(p[0]) << _CHAR | ord(p[1]) for p in pieces.inside}), np.int64)
+        self.bytes = np.array(pieces.byte_ids, np.int32)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, which follow a space each, and how many each has."""
+        chars = np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size) - size
+        cut = np.ones(len(chars), bool)
+        cut[1:] = ~_held(self.inside, chars[:-1] << _CHAR | chars[1:])[0]
+        cut[begin] = True
+        first = np.flatnonzero(cut)
+        length = np.diff(np.append(first, len(chars)))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int32))]
+        for i in np.flatnonzero(length > LONG).tolist():
+            unit = chars[first[i] : first[i] + length[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            ids = np.array(long_path(unit, self.scores, self.longest, self.unknown), np.int32)
+            found.append((np.full(len(ids), i), ids))
+        short = np.flatnonzero(length <= LONG)
+        group = np.cumsum(length[short]) // SIDE
+        for some in np.split(short, np.flatnonzero(np.diff(group)) + 1) if len(short) else []:
+            at, ids = self.paths(gathered(chars, first[some], length[some]), length[some])
+            found.append((some[at], ids))
+        unit, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(unit, kind="stable")
+        unit, ids = self._in_bytes(unit[order], ids[order])
+        return ids, np.bincount(np.searchsorted(begin, first[unit], "right") - 1, minlength=len(words))
+
+    def paths(self, chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units that stand one after the other, and the unit of each; a character without a piece gets a
+        negative id that holds its code point."""
+        first = np.cumsum(length) - length
+        unit = np.repeat(np.arange(len(length)), length)
+        stop = np.repeat(first + length, length)
+        begins, pieces = [], []
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for size in range(1, self.longest + 1):
+            known, place = _held(self.step, node << _CHAR | chars[at + size - 1])
+            node = np.where(known, self.node[place], 0)
+            piece = self.piece[node]
+            if size == 1:
+                begins.append(at), pieces.append(np.where(piece < 0, -1 - chars, piece))
+            else:
+                begins.append(at[piece >= 0]), pieces.append(piece[piece >= 0])
+            on = known & (at + size < stop[at])
+            at, node = at[on], node[on]
+        size = np.repeat(np.arange(1, len(begins) + 1, dtype=np.int16), [len(b) for b in begins])
+        begin, piece = np.concatenate(begins), np.concatenate(pieces)
+        step = (begin - first[unit[begin]] + size).astype(np.uint16)
+        # Edges come by size already; a step is one end within every unit.
+        order = np.argsort(step, kind="stable")
+        begin, piece, size, step = begin[order], piece[order], size[order], step[order]
+        score = np.where(piece < 0, self.unknown, self.score[np.maximum(piece, 0)])
+        # A unit of n characters has n + 1 places.
+        begin = begin + unit[begin]
+        end = begin + size
+        total, back = np.full(len(chars) + len(length), -np.inf), np.zeros(len(chars) + len(length), np.int64)
+        starts = first + np.arange(len(length))
+        total[starts] = 0.0
+        edges = np.flatnonzero((np.diff(step) != 0) | (np.diff(size) != 0)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(step)]):
+            to, here = end[lo:hi], total[begin[lo:hi]] + score[lo:hi]
+            # Sizes grow within a step: the longer one of equals stays.
+            better = np.flatnonzero(here >= total[to])
+            total[to[better]], back[to[better]] = here[better], lo + better
+        used, inner = np.zeros(len(total), bool), np.ones(len(total), bool)
+        inner[starts] = False
+        now = starts + length
+        while len(now):
+            used[now] = True
+            now = begin[back[now]]
+            now = now[inner[now]]
+        place = np.flatnonzero(used)
+        return np.searchsorted(starts, place, "right") - 1, piece[back[place]].astype(np.int32)
+
+    def _in_bytes(self, unit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte pieces in place of characters without a piece."""
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return unit, ids
+        fills = [chr(-1 - c).encode("utf-8", "surrogatepass") for c in ids[odd].tolist()]
+        width = np.ones(len(ids), np.int64)
+        width[odd] = [len(f) for f in fills]
+        wide, out = np.repeat(ids, width), np.repeat(unit, width)
+        wide[wide < 0] = self.bytes[np.frombuffer(b"".join(fills), np.uint8)]
+        return out, wide
+
+
+def _held(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether and where sorted ``keys`` hold each of ``wanted``."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+def _known(pieces: Pieces) -> WordIds:
+    """The worker's words: they stay known from task to task."""
+    kept = sys.modules.setdefault("_rankloom_pieces", ModuleType("_rankloom_pieces"))
+    if getattr(kept, "pieces", None) != pieces:
+        kept.pieces, kept.words = pieces, WordIds(Lattice(pieces).words, KNOWN)
+    return kept.words
+
+
+def words_of(text: str, whole: bool) -> list[str]:
+    """A text as words that follow a space each; ``whole`` if no piece reaches over the end of a word."""
+    if not text:
+        return []
+    if not whole:
+        return [text.replace(" ", SPACE)]
+    if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+        # Several spaces stay together, as pieces hold them.
+        return [w[1:] for w in _COARSE.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
+
+
+_COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def long_path(unit: str, scores: dict[str, tuple[float, int]], longest: int, unknown: float) -> list[int]:
-    """`viterbi` of one unit, without its edges in one row: the same sums and the same choice among equals."""
+    """`Lattice.paths` of one unit, without its edges: the same sums and the same choice among equals."""
     n = len(unit)
     total, size, ids = np.zeros(n + 1), np.zeros(n + 1, np.int16), np.zeros(n + 1, np.int32)
     for end in range(1, n + 1):
@@ -249,120 +251,53 @@ def long_path(unit: str, scores: dict[str, tuple[float, int]], longest: int, unk
     return out[::-1]
 
 
-def _long_paths(pieces: Pieces):
-    scores = {s: (float(x), i) for i, (s, x, n) in enumerate(zip(pieces.strings, pieces.scores, pieces.normal)) if n}
-    longest, unknown = pieces.longest, pieces.unknown_score
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for unit in batch.column(0):
-                ids = long_path(unit.as_py(), scores, longest, unknown)
-                yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()]), pa.array([ids], pa.list_(pa.int32()))], names=["key", "ids"])
-
-    return run
-
-
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int):
-    """Jobs run inside send Python workers at most ``rows`` rows at once: whole texts are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def _joined(byte_ids: list[int], keep: int):
-    """Unit numbers to ids; rows come by part, its units before its documents."""
+def _coded(pieces: Pieces, keep: int):
+    """Ids of texts; the first ``keep`` columns pass through."""
+    whole = not any(p[1] == SPACE and p[0] != SPACE for p in pieces.inside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, parts, flat, first, size = None, [], None, None, None
-        unpack = zstandard.ZstdDecompressor().decompress
-
-        def settle() -> None:
-            nonlocal flat, first, size
-            # Units come sorted by number.
-            lists = pa.chunked_array(parts, pa.list_(pa.int32())).combine_chunks() if parts else pa.array([], pa.list_(pa.int32()))
-            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            odd = np.flatnonzero(flat < 0)
-            if len(odd):
-                width = np.ones(len(flat), np.int64)
-                fills = [[byte_ids[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in flat[odd].tolist()]
-                width[odd] = [len(f) for f in fills]
-                begin = np.cumsum(width) - width
-                wide = np.empty(int(width.sum()), flat.dtype)
-                plain = flat >= 0
-                wide[begin[plain]] = flat[plain]
-                for at, fill in zip(begin[odd].tolist(), fills):
-                    wide[at : at + len(fill)] = fill
-                ends = np.concatenate([[0], np.cumsum(width)])
-                edges = np.concatenate([[0], np.cumsum(size)])
-                size, flat = np.diff(ends[edges]), wide
-            first = np.cumsum(size) - size
-
+        known = _known(pieces)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = batch.column(keep).to_numpy()
-            kind = batch.column(keep + 1).to_numpy()
-            edges = np.flatnonzero((np.diff(at) != 0) | (np.diff(kind < 0) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(at)]):
-                if at[lo] != part:
-                    part, parts, flat = at[lo], [], None
-                if kind[lo] >= 0:
-                    parts.append(batch.column(keep + 3).slice(lo, hi - lo))
-                    continue
-                if flat is None:
-                    settle()
-                    parts = []
-                for i in range(lo, hi, 256):
-                    some = batch.slice(i, min(256, hi - i))
-                    ids = []
-                    for raw in some.column(keep + 2):
-                        codes = np.frombuffer(unpack(raw.as_py()), "<u4")
-                        n = size[codes]
-                        ids.append(flat[np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-                    yield pa.RecordBatch.from_arrays([*some.columns[:keep], pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[:keep], "ids"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                flat, size = known.ids([words_of(t, whole) for t in part.column(keep).to_pylist()])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], ids], names=[*batch.schema.names[:keep], "ids"])
 
     return run
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of every document and its ids."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
-    coded = docs.select(*keep, F.col(f"`{text}`").alias("__text")).mapInArrow(
-        _coded(pieces.inside, len(keep)), f"{schema}, __part long, __at int, __unit string, __codes binary"
-    )
-    with _small_batches(spark, ROWS):
-        coded = stored(coded, "coded")
-    units = coded.where("__at >= 0").select("__part", "__at", F.col("__unit").alias("unit"))
-    different = units.select("unit").repartition(parts, "unit").distinct()
-    arcs = lattice(different.where(F.char_length("unit") <= LONG), pieces.table(spark), pieces.longest, pieces.unknown_score)
-    solved = stored(arcs.select(F.col("unit").alias("key"), viterbi(F.col("arcs"), pieces.longest).alias("ids")), "solved")
-    long = units.where(F.char_length("unit") > LONG).select("unit").distinct()
-    solved = solved.unionByName(stored(long.mapInArrow(_long_paths(pieces), "key string, ids array<int>"), "solved"))
-    found = units.join(solved, F.col("unit") == F.col("key"))
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields]
-    sent = found.select(*blank, "__part", "__at", F.lit(None).cast("binary").alias("__codes"), "ids")
-    rows = coded.where("__at < 0").select(*keep, "__part", "__at", "__codes", F.lit(None).cast("array<int>").alias("ids"))
-    met = sent.unionByName(rows).repartition(parts, "__part").sortWithinPartitions("__part", F.col("__at") < 0, "__at")
-    return met.mapInArrow(_joined(pieces.byte_ids, len(keep)), f"{schema}, ids array<int>")
-
-
-def _texts(table: list[bytes]):
+    rows = docs.select(*keep, F.col(f"`{text}`").alias("__text"))
+    return rows.mapInArrow(_coded(pieces, len(keep)), f"{schema}, ids array<int>")
+
+
+def _decoded(ids: pa.Array, table: pa.Array) -> pa.Array:
+    """Texts of lists of ids: taken in the order of the ids, the pieces' bytes stand one after the other."""
+    lists = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    taken = table.take(ids.flatten())
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    at = pa.py_buffer(ends[np.concatenate([[0], np.cumsum(lists)])])
+    data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+    joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, at, data])
+    try:
+        shown = joined.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        shown = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.large_string())
+    return pc.utf8_slice_codeunits(pc.replace_substring(shown, SPACE, " "), 1).cast(pa.string())
+
+
+def _texts(pieces: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = table.__getitem__
+        table = pa.array(pieces, pa.large_binary())
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [b"".join(map(get, ids or [])).decode("utf-8", "replace").replace(SPACE, " ")[1:] for ids in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                texts = _decoded(part.column(part.num_columns - 1), table)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     return run
 

@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from rankloom.llm.pieces import LONG, Pieces, decode, encode
+from rankloom.llm.pieces import LONG, Lattice, Pieces, decode, encode, long_path, words_of
+from rankloom.llm.words import WordIds
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, ids string, unit string"
@@ -81,3 +84,27 @@ def test_very_long_units(spark):
     df = spark.createDataFrame([(*r, "i", "u") for r in rows], SCHEMA)
     got = {r.doc_id: (r.ids, r.decoded) for r in decode(encode(df, pieces), pieces).collect()}
     assert got == {i: (library.encode(t), t) for i, t in rows}
+
+
+def test_words_side_by_side_give_the_lattice_of_the_whole_text():
+    """Known words, new ones, words cut into units, long units and a worker that begins anew: one lattice per text says the same."""
+    draw, pieces = np.random.default_rng(5), Pieces.load(PATH)
+    lattice = Lattice(pieces)
+    chars = list("etaoinshrdlu") * 4 + list(" .,\n▁é北🎉") + ["  ", "▁▁", "the", "ing"]
+    texts = ["".join(draw.choice(chars, n)) for n in draw.integers(0, 400, 300)] + TEXTS + ["n" * 500, "ab" * (LONG // 2), "x" * (LONG - 2), " "]
+    for most in (10**6, 50):
+        known, got = WordIds(lattice.words, most), []
+        for i in range(0, len(texts), 7):
+            ids, size = known.ids([words_of(t, True) for t in texts[i : i + 7]])
+            got += [a.tolist() for a in np.split(ids, np.cumsum(size)[:-1])]
+        for text, ids in zip(texts, got, strict=True):
+            whole = long_path("▁" + text.replace(" ", "▁"), lattice.scores, lattice.longest, lattice.unknown) if text else []
+            assert ids == [b for i in whole for b in ([i] if i >= 0 else [pieces.byte_ids[x] for x in chr(-1 - i).encode()])]
+
+
+def test_words_stay_in_their_task(spark):
+    """No word or text is sent to another task or written on the way."""
+    pieces = Pieces.load(PATH)
+    found = decode(encode(spark.createDataFrame([(1, "some text", "i", "u")], SCHEMA).repartition(2), pieces), pieces)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and not re.search("Join|Aggregate|parquet|hashpartitioning|RepartitionByExpression", plan)
