@@ -44,6 +44,8 @@ STEMS = (4, 5, 6)
 EDGES = ".,;:!?\"'()[]{}*&%$#|"
 # A feature needs so many labelled documents, and a share of toxic ones so many standard deviations off the mean.
 LEAST, DEVIATIONS = 8, 4.0
+# Features of the sample that a step of the fit looks at together; only their buckets are held for all rows.
+BLOCK = 1 << 16
 
 
 class Words:
@@ -111,10 +113,19 @@ class Severity:
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, ratio: np.ndarray, rounds: int = 300, ridge: float = 0.01, rate: float = 0.05) -> Severity:
     """Maximum likelihood with Adam steps over the whole sample; thresholds keep their order by positive gaps."""
-    at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, local = np.unique(at, return_inverse=True)
-    value = ratio[at]
+    at = np.concatenate(rows).astype(np.int32, copy=False) if rows else np.empty(0, np.int32)
+    size = np.array([len(r) for r in rows], np.int64)
+    ends = np.cumsum(size)
+    seen = np.zeros(len(ratio), bool)
+    seen[at] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(len(ratio), np.int32)
+    place[used] = np.arange(len(used))
+    local, value = place[at], ratio[used]
+    del at
+    # Whole rows, about BLOCK features each time.
+    edges = np.flatnonzero(np.diff((ends - size) // BLOCK)) + 1
+    blocks = [(a, b, ends[a] - size[a], ends[b - 1]) for a, b in zip([0, *edges], [*edges, len(rows)]) if b > a]
     levels = int(grades.max()) if len(grades) else 0
     if not levels:
         return Severity(ratio, np.zeros_like(ratio), np.full(GRADES - 1, 40.0))
@@ -125,7 +136,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, ratio: np.ndarray, r
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         cuts = w[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(w[len(used) + 1 :]))])
-        score = np.bincount(row, value * w[local], minlength=len(rows))
+        score, worth = np.empty(len(rows)), value * w[: len(used)]
+        for a, b, lo, hi in blocks:
+            score[a:b] = np.bincount(np.repeat(np.arange(b - a), size[a:b]), worth[local[lo:hi]], minlength=b - a)
         p = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -40, 40)))
         # P(grade = g) is a difference of neighbouring curves; its log-likelihood has this slope in the score.
         upper = np.concatenate([np.ones((len(rows), 1)), p], axis=1)
@@ -135,7 +148,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, ratio: np.ndarray, r
         du, dl = upper[pick] * (1 - upper[pick]), lower[pick] * (1 - lower[pick])
         slope = -pull * (du - dl) / mass
         g = np.zeros_like(w)
-        g[: len(used)] = np.bincount(local, value * slope[row], minlength=len(used)) + ridge * w[: len(used)] / len(used)
+        for a, b, lo, hi in blocks:
+            np.add.at(g, local[lo:hi], value[local[lo:hi]] * np.repeat(slope[a:b], size[a:b]))
+        g[: len(used)] += ridge * w[: len(used)] / len(used)
         per_cut = np.zeros((len(rows), levels))
         has_up, has_low = grades > 0, grades < levels
         per_cut[has_up, grades[has_up] - 1] += (pull * du / mass)[has_up]
@@ -183,8 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     part = part.mapInArrow(_features(ratio), f"at array<int>, toxic int, of {part.schema['__of'].dataType.simpleString()}")
     # One row for each drawn doc_id, however many rows share it, so the bound holds for rows too.
     part = part.groupBy("of").agg(F.min("at").alias("at"), F.min("toxic").alias("toxic")).toPandas().sort_values("of")
-    sets = [np.asarray(a, np.int64) for a in part["at"]]
+    sets = [np.asarray(a, np.int32) for a in part["at"]]
     toxic = part["toxic"].to_numpy().astype(np.int64)
+    del part
     points = np.array([(ratio[s] > POINTS).sum() for s in sets])
     middle = np.median(points[toxic == 1]) if (toxic == 1).any() else 0.0
     model = fit_ordinal(sets, toxic + ((toxic == 1) & (points >= middle)), ratio)

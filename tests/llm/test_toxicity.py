@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from rankloom.llm import toxicity
@@ -101,3 +103,18 @@ def test_rows_that_share_a_doc_id_do_not_widen_the_sample(spark, monkeypatch):
     for sample in (100, 20_000):
         train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=sample)
     assert seen == [100, 600]
+
+
+def test_the_fit_holds_little_beside_the_sample():
+    """Twelve bytes for each feature of the sample and a bounded block; the same weights as sums over all rows at once."""
+    draw, ratio = np.random.default_rng(4), np.random.default_rng(5).normal(size=5000)
+    rows = [np.unique(draw.integers(0, 5000, int(n))).astype(np.int32) for n in draw.integers(0, 2000, 1000)] + [np.empty(0, np.int32)]
+    grades = np.arange(len(rows)) % 3
+    tracemalloc.start()
+    found = fit_ordinal(rows, grades, ratio, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(map(len, rows)) + (6 << 20)
+    # Two equal halves of the rows have the slopes of one.
+    twice = fit_ordinal(rows + rows, np.concatenate([grades, grades]), ratio, rounds=2)
+    assert np.allclose(found.weight, twice.weight, atol=1e-6) and np.allclose(found.cuts, twice.cuts, atol=1e-6)
