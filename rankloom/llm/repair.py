@@ -14,7 +14,8 @@ shard by less than one part in STOP; pairs never reach over the end of a documen
 Expansion lengths let a reader find the symbol that covers an id without expanding the ones before (`read_range`).
 
 The tokenizer's normaliser turns white space into a blank that its splitter drops, so a text's ids are those of its
-words one after the other; each different word is encoded by the library once per worker.
+words one after the other; each different word is encoded by the library once per worker, and so is each word without
+the ASCII symbols at its end. Words of lower-case letters that normaliser and splitter leave as they are go straight to the library's model.
 
 Defined cases: null and empty texts are documents that hold the end id alone; a null doc_id comes first; rows that share
 a doc_id are neighbours, ordered by text; a document longer than a shard is a shard of its own; an empty table gives no
@@ -24,27 +25,37 @@ shards; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 from collections.abc import Iterator
+from itertools import chain
 from types import ModuleType
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..session import scratch_path
 from .common import running_before
+from .words import WordIds, gathered
 
 SHARD_IDS = 1 << 20
 # A pair becomes a rule if it occurs so often in a shard, and at least a FACTOR-th as often as the most frequent one.
 LEAST, FACTOR, STOP = 8, 256, 64
-CACHE_WORDS = 1_500_000
+# Words, and words without the symbols at their ends, that a worker knows; rows that it encodes at once.
+KNOWN, KNOWN_BARE, ROWS = 1_000_000, 600_000, 1024
 _HEAD, _MAGIC, _HASH_BITS = "<4s4q", b"RPR2", 20
-_PUNCTUATION = b".,!?;:"
+_SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_LETTERS_DIGITS = frozenset(range(33, 127)) - frozenset(_SYMBOLS)
+# Lower-case letters that no normal form and no lower case changes, and the signs that stand for bytes in the vocabulary.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_SIGNS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordEncoder:
@@ -55,69 +66,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.used, self.count = np.empty(1 << 20, np.int32), 0, 0
-        self.first, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
-
-    def _keep(self, word: bytes, ids: list[int]) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
-        if self.count == len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * self.count), np.resize(self.size, 2 * self.count)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.first[self.count], self.size[self.count] = self.used, len(ids)
-        self.place[word] = self.count
-        self.used, self.count = self.used + len(ids), self.count + 1
-
-    def _ids(self, word: bytes) -> list[int]:
-        at = self.place[word]
-        return self.flat[self.first[at] : self.first[at] + self.size[at]].tolist()
-
-    def _learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.place]
-        # ASCII punctuation after a letter or digit is a pre-token of its own, so a word and its ending are encoded apart.
-        bare = {w: w.rstrip(_PUNCTUATION) for w in new}
-        bare = {w: b if b and chr(b[-1]).isalnum() and b[-1] < 128 else w for w, b in bare.items()}
-        wanted = dict.fromkeys([b for b in bare.values()] + [w[len(b) :] for w, b in bare.items() if len(b) < len(w)])
-        wanted = [w for w in wanted if w not in self.place]
-        for i in range(0, len(wanted), 4096):
-            part = wanted[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                self._keep(w, e.ids)
-        for w, b in bare.items():
-            if w not in self.place:
-                self._keep(w, self._ids(b) + self._ids(w[len(b) :]))
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        # The model of words alone takes a word as it stands; other normalisers and splitters are asked every time.
+        self.straight = self.tokenizer.model.tokenize if _leaves_plain_words(self.tokenizer) else None
+        self.bare, self.words = WordIds(self._library, KNOWN_BARE), WordIds(self._ends_apart, KNOWN)
+
+    def _library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[list[int] | None] = []
+        for w in words:
+            plain = self.straight and _PLAIN.fullmatch(w.decode("utf-8"))
+            found.append([t.id for t in self.straight(w.decode("latin-1").translate(_SIGNS))] if plain else None)
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for at, e in zip(some, self.tokenizer.encode_batch_fast([words[j].decode("utf-8") for j in some], add_special_tokens=False)):
+                found[at] = e.ids
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+
+    def _ends_apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # ASCII symbols after a letter or digit are a pre-token of their own, so a word and its ending are encoded apart.
+        parts, begin = [], []
+        for w in words:
+            begin.append(len(parts))
+            b = w.rstrip(_SYMBOLS)
+            if len(b) < len(w) and b and b[-1] in _LETTERS_DIGITS and b"<|" not in w:
+                parts.append(b)
+                parts.append(w[len(b) :])
+            else:
+                parts.append(w)
+        ids, size = self.bare.each(parts)
+        return ids, np.add.reduceat(size, begin, dtype=np.int64)
+
+    def encode(self, texts: pa.Array | list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and how many each has."""
-        split = []
-        for t in texts:
-            raw = t.encode("utf-8") if t else b""
-            # The normaliser lowers anyway; a text that may spell a special token is left to the library as it is.
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        if self.count > CACHE_WORDS:
-            self._clear()
-        place, out, sizes = self.place, [], []
-        for words in split:
-            try:
-                at = [place[w] for w in words]
-            except KeyError:
-                self._learn(words)
-                at = [place[w] for w in words]
-            at = np.array(at, np.int64)
-            size = self.size[at]
-            total = int(size.sum())
-            ids = np.empty(total + 1, np.int32)
-            if total:
-                begin = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-                ids[:-1] = self.flat[begin + np.arange(total)]
-            ids[-1] = end
-            out.append(ids), sizes.append(total + 1)
-        return (np.concatenate(out) if out else np.empty(0, np.int32)), np.array(sizes, np.int64)
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        # The normaliser lowers anyway; a text that may spell a special token is left to the library as it is.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        # White space at the ends of a text leaves empty words, which have no ids.
+        flat, size = self.words.each(words.dictionary.to_pylist())
+        at = words.indices.to_numpy(zero_copy_only=False)
+        ids, size = gathered(flat, (np.cumsum(size) - size)[at], size[at]), size[at]
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        ends = upto[np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]
+        return np.insert(ids, ends, end), np.diff(ends, prepend=0) + 1
+
+
+def _leaves_plain_words(tokenizer) -> bool:
+    """Whether whole encoding gives a word of lower-case letters what the model alone gives it: asked of every letter, alone,
+    doubled, and between others."""
+    letters = [c for c in map(chr, range(256)) if _PLAIN.fullmatch(c)]
+    words = [*letters, *[c + c for c in letters], *[f"{a}{c}{b}" for c in letters for a, b in ("st", "él", "re")]]
+    whole = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    return all(e.ids == [t.id for t in tokenizer.model.tokenize(w.encode().decode("latin-1").translate(_SIGNS))] for w, e in zip(words, whole))
 
 
 def _encoder(model: str) -> WordEncoder:
@@ -128,43 +130,73 @@ def _encoder(model: str) -> WordEncoder:
     return kept.encoder
 
 
+def _ranks(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The place of each key among the ``chosen`` ones, or their number."""
+    multiplier, shift = (0x9E3779B1, 32) if key.dtype == np.uint32 else (0x9E3779B97F4A7C15, 64)
+
+    def spot(keys: np.ndarray) -> np.ndarray:
+        return (keys * key.dtype.type(multiplier)) >> key.dtype.type(shift - _HASH_BITS)
+
+    slot = np.full(1 << _HASH_BITS, len(chosen), np.int32)
+    slot[spot(chosen)] = np.arange(len(chosen))
+    rank = slot[spot(key)]
+    # Chosen keys that share a slot, and others that fall on one, are looked up in order.
+    other = np.flatnonzero((rank < len(chosen)) & (chosen[np.minimum(rank, len(chosen) - 1)] != key))
+    order = np.argsort(chosen)
+    at = order[np.minimum(np.searchsorted(chosen, key[other], sorter=order), len(chosen) - 1)]
+    rank[other] = np.where(chosen[at] == key[other], at, len(chosen))
+    return rank
+
+
 def compressed(ids: np.ndarray, sizes: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), their expansion lengths, the symbols left, and the first symbol of each document."""
     # Each document is closed by a mark that pairs with nothing.
     ends = np.cumsum(sizes)
-    sym = np.insert(ids.astype(np.int64), ends, -1)
-    rules: list[np.ndarray] = []
     following, most = terminals, (1 << 16 if terminals < 1 << 16 else 1 << 31)
+    # A pair of symbols is one number; few numbers of half the width sort and compare faster.
+    bits, signed, plain = (16, np.int32, np.uint32) if most == 1 << 16 else (32, np.int64, np.uint64)
+    sym = np.insert(ids.astype(signed), ends, -1)
+    rules: list[np.ndarray] = []
     while len(sym) > 1 and following < most:
-        left, right = sym[:-1], sym[1:]
-        key = (left << 32) | right
-        apart = (left >= 0) & (right >= 0)
-        spot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
-        # A count per hash first: only pairs whose hash is frequent enough are counted one by one.
-        heavy = np.flatnonzero(apart & (np.bincount(spot[apart], minlength=1 << _HASH_BITS)[spot] >= LEAST))
-        pairs, counts = np.unique(key[heavy], return_counts=True)
-        if not len(pairs):
+        key = sym.astype(plain)
+        key = (key[:-1] << plain(bits)) | (key[1:] & plain((1 << bits) - 1))
+        marks = np.flatnonzero(sym < 0)
+        marked = np.concatenate([marks[marks < len(key)], marks[marks > 0] - 1])
+        apart = np.ones(len(key), bool)
+        apart[marked] = False
+        ordered = np.sort(key[apart])
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+        counts = np.diff(np.append(begin, len(ordered)))
+        often = counts >= LEAST
+        if not often.any():
             break
+        pairs, counts = ordered[begin[often]], counts[often]
         chosen = np.flatnonzero(counts >= max(LEAST, counts.max() // FACTOR))
         chosen = chosen[np.lexsort((pairs[chosen], -counts[chosen]))][: most - following]
-        if not len(chosen):
-            break
-        rank_of = np.full(len(pairs), len(chosen), np.int64)
-        rank_of[chosen] = np.arange(len(chosen))
-        rank = np.full(len(sym) + 1, len(chosen), np.int64)
-        rank[heavy + 1] = rank_of[np.searchsorted(pairs, key[heavy])]
+        rank = np.full(len(sym) + 1, len(chosen), np.int32)
+        rank[1:-1] = _ranks(key, pairs[chosen])
+        rank[marked + 1] = len(chosen)
         # Of overlapping occurrences the one of the more frequent pair goes first, the rest wait for the next round;
         # a run of one id gives every second of its pairs.
         before, here, after = rank[:-2], rank[1:-1], rank[2:]
-        place = np.arange(len(here))
-        run = place - np.maximum.accumulate(np.where(here != before, place, 0))
-        taken = np.flatnonzero((here < len(chosen)) & (run % 2 == 0) & ((run > 0) | (here < before)) & (here <= after))
+        ready = (here < before) & (here <= after)
+        again = np.flatnonzero((here == before) & (here < len(chosen)))
+        if len(again):
+            fresh = np.concatenate([[True], np.diff(again) != 1])
+            run = again - again[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] + 1
+            ready[again] = (run % 2 == 0) & (here[again] <= after[again])
+        taken = np.flatnonzero(ready)
         if len(taken) * STOP < len(sym):
             break
-        used, number = np.unique(here[taken], return_inverse=True)
-        rules.append(pairs[chosen[used]])
-        sym[taken] = following + number
-        sym = np.delete(sym, taken + 1)
+        won = here[taken]
+        seen = np.bincount(won, minlength=len(chosen)) > 0
+        used = np.flatnonzero(seen)
+        rule = pairs[chosen[used]].astype(np.int64)
+        rules.append((rule >> bits) << 32 | (rule & ((1 << bits) - 1)))
+        sym[taken] = following + (np.cumsum(seen) - 1)[won]
+        stay = np.ones(len(sym), bool)
+        stay[taken + 1] = False
+        sym = sym[stay]
         following += len(used)
     pairs = np.concatenate(rules) if rules else np.empty(0, np.int64)
     rule = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
@@ -230,9 +262,12 @@ class Shard:
         shift = np.repeat(self.begin[symbols] - (np.cumsum(size) - size), size)
         return self.flat[shift + np.arange(int(size.sum()))]
 
+    def ids(self) -> np.ndarray:
+        """The ids of all documents, one after the other."""
+        return self._expanded(self.symbols)
+
     def documents(self) -> list[np.ndarray]:
-        ids = self._expanded(self.symbols)
-        ends = np.cumsum(self.sizes)
+        ids, ends = self.ids(), np.cumsum(self.sizes)
         return [ids[e - s : e] for s, e in zip(self.sizes, ends)]
 
     def read_range(self, doc: int, start: int, stop: int) -> np.ndarray:
@@ -259,14 +294,17 @@ def _written(model: str, terminals: int, end: int, shard_ids: int):
             return pa.RecordBatch.from_arrays(out, names=["part", "number", "n_ids", "shard"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                piece = batch.slice(i, 64)
-                got, count = encoder.encode(piece.column(1).to_pylist(), end)
-                docs += piece.column(0).to_pylist()
-                sizes.append(count), ids.append(got)
-                held += len(got)
-                if held >= shard_ids:
-                    yield shard()
+            for i in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(i, ROWS)
+                got, count = encoder.encode(piece.column(1), end)
+                named, ends = piece.column(0).to_pylist(), np.concatenate([[0], np.cumsum(count)])
+                for lo in range(0, piece.num_rows, 64):
+                    hi = min(lo + 64, piece.num_rows)
+                    docs += named[lo:hi]
+                    sizes.append(count[lo:hi]), ids.append(got[ends[lo] : ends[hi]])
+                    held += int(ends[hi] - ends[lo])
+                    if held >= shard_ids:
+                        yield shard()
         if docs:
             yield shard()
 
@@ -285,11 +323,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw, start in zip(batch.column(0), batch.column(1).to_pylist()):
             shard = Shard(raw.as_py())
-            ids = shard.documents()
-            before = start + np.cumsum(shard.sizes) - shard.sizes
-            crc = [crc32(i.astype("<u4").tobytes()) for i in ids]
+            ids, ends = shard.ids().astype("<u4"), np.cumsum(shard.sizes)
+            before = start + ends - shard.sizes
+            crc = [crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), shard.sizes.tolist())]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.doc_ids, pa.int64()), pa.array(before), pa.array(shard.sizes), pa.array(crc, pa.int64()), pa.array(ids, pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))],
+                [pa.array(shard.doc_ids, pa.int64()), pa.array(before), pa.array(shard.sizes), pa.array(crc, pa.int64()), lists],
                 names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
             )
 

@@ -48,11 +48,11 @@ class WordIds:
         self.first[before:known], self.size[before:known] = self.used + np.cumsum(size) - size, size
         self.used, self.held = used, self.held + sum(map(len, words))
 
-    def ids(self, texts: Sequence[Sequence[Hashable]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of all texts, and how many each text has."""
+    def each(self, words: list[Hashable]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has."""
         if len(self.place) > self.most or self.held > KNOWN_LENGTH:
             self._clear()
-        words, before = list(chain.from_iterable(texts)), len(self.place)
+        before = len(self.place)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         if len(self.place) > before:
             try:
@@ -60,7 +60,10 @@ class WordIds:
             except BaseException:
                 self._clear()
                 raise
-        size = self.size[at]
+        return gathered(self.flat, self.first[at], self.size[at]), self.size[at]
+
+    def ids(self, texts: Sequence[Sequence[Hashable]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of all texts, and how many each text has."""
+        ids, size = self.each(list(chain.from_iterable(texts)))
         upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        ends = np.cumsum([0, *map(len, texts)])
-        return gathered(self.flat, self.first[at], size), np.diff(upto[ends])
+        return ids, np.diff(upto[np.cumsum([0, *map(len, texts)])])

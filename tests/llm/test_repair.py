@@ -1,3 +1,4 @@
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -5,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rankloom.llm.repair import Shard, WordEncoder, packed, round_trip, write_shards
+from rankloom.llm.repair import FACTOR, LEAST, STOP, Shard, WordEncoder, compressed, packed, round_trip, write_shards
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, ids array<long>, start string"
@@ -57,3 +58,56 @@ def test_round_trip_of_a_table(spark, tmp_path):
     # Small shards: a long document makes one of its own.
     write_shards(df, str(tmp_path / "s"), open(PATH).read(), 49408, 2, shard_ids=10)
     assert spark.read.parquet(str(tmp_path / "s")).count() >= 2
+
+
+PLAIN = ["ÿþßæœ ﬁn naïve straße", "it's'' don't%%% a'b'' é''s x_y__ 3.1.. ÿ- µ+ ªº ς", "aé" * 40 + "&&&", "x<|endoftext|>% <|y|>", "Ünder ünder ÜNDER", "\x1c \x85\u00a0word\u00a0"]
+
+
+def test_plain_words_and_endings_give_the_ids_of_whole_texts():
+    """Each different plain word is asked of the library's model once, without the symbols at its end, and never through normaliser and splitter."""
+    encoder, tokenizer = WordEncoder(open(PATH).read()), Tokenizer.from_file(PATH)
+    for _ in range(2):
+        ids, sizes = encoder.encode(PLAIN + TEXTS, 2)
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in PLAIN + TEXTS]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return tokenizer.encode_batch_fast(words, **options)
+
+    encoder.tokenizer = Library()
+    encoder.encode(["gänzlich neue wörter, wörter! wörter### (8)", "neue wörter%% 8 8###"], 2)
+    assert not {"gänzlich", "neue", "wörter"} & set(asked) and len(asked) == len(set(asked))
+
+
+def test_rules_are_those_of_pairs_sorted_one_by_one():
+    """Rounds of `compressed` against plain counts: the same rules in the same order, for narrow and wide symbols."""
+    draw = np.random.default_rng(8)
+    for terminals, top in ((300, 12), (70_000, 40), (10, 3)):
+        sizes = np.array([1, 700, 1, 4000, 2300])
+        ids = draw.integers(0, top, sizes.sum())
+        sym = [s for part in np.split(ids, np.cumsum(sizes)[:-1]) for s in [*part.tolist(), -1]]
+        rules, following = [], terminals
+        while True:
+            count = Counter((a, b) for a, b in zip(sym, sym[1:]) if a >= 0 and b >= 0)
+            most = max(count.values(), default=0)
+            chosen = sorted((p for p, n in count.items() if n >= max(LEAST, most // FACTOR)), key=lambda p: (-count[p], p))
+            place = {p: i for i, p in enumerate(chosen)}
+            rank = [len(chosen), *[place.get(p, len(chosen)) for p in zip(sym, sym[1:])], len(chosen)]
+            taken, run = [], 0
+            for i in range(1, len(sym)):
+                run = run + 1 if rank[i] == rank[i - 1] and i > 1 else 0
+                if rank[i] < len(chosen) and run % 2 == 0 and (run or rank[i] < rank[i - 1]) and rank[i] <= rank[i + 1]:
+                    taken.append(i - 1)
+            if not taken or len(taken) * STOP < len(sym):
+                break
+            used = sorted({rank[i + 1] for i in taken})
+            rules += [chosen[u] for u in used]
+            for i in taken:
+                sym[i] = following + used.index(rank[i + 1])
+            gone = {i + 1 for i in taken}
+            sym, following = [s for i, s in enumerate(sym) if i not in gone], following + len(used)
+        rule, _, left, _ = compressed(ids, sizes, terminals)
+        assert [tuple(r) for r in rule.tolist()] == rules and left.tolist() == [s for s in sym if s >= 0]
