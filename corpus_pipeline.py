@@ -53,8 +53,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no ids. Of other columns lang, source and n_chars stay, as this is the last stage."""
     vocabulary = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    tokens = pieces.encode(docs, vocabulary, keep=["doc_id", "lang", "source", "n_chars"])
-    return pieces.decode(tokens, vocabulary).withColumnRenamed("decoded", "text").withColumn("n_tokens", F.size("ids").cast("long"))
+    tokens = pieces.encode(docs, vocabulary, keep=["doc_id", "lang", "source", "n_chars"], decoded="text")
+    return tokens.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

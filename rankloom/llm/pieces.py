@@ -5,7 +5,8 @@ segmenter does on the same pieces; ties go to the longer last piece. Characters
 less ten and become byte pieces.
 
 1. Each task cuts its texts into words, where no piece reaches from one into the next, and numbers the words it does not
-   know yet. What it knows stays with the worker from task to task, up to a bound (`words`).
+   know yet, up to a bound (`words`). What it knows goes with the task: Spark keeps idle workers, and what those held
+   would be missing to all later work of their executor.
 2. The new words of a batch become units. A cut between two characters is safe where no piece holds them side by side, so
    each unit can be segmented for itself.
 3. From all characters of all units at once, a walk down the tree of pieces gives the edges of the lattices: one step for
@@ -18,7 +19,8 @@ less ten and become byte pieces.
 Words do not leave their task: on the corpora measured a word in 17 is new, and sending words and their ids between tasks
 took more than the texts themselves. So nothing is shuffled, and no key can be hot.
 
-Decoding puts the bytes of the pieces one after the other.
+Decoding puts the bytes of the pieces one after the other. `encode` can do so in its own pass, since two passes in one
+stage take two workers for each task.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; a text's own U+2581 decodes to a space, as
 with the library; rows are never matched by doc_id, so nulls and repeats pass through; an empty table gives no rows.
@@ -27,11 +29,9 @@ with the library; rows are never matched by doc_id, so nulls and repeats pass th
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from .words import WordIds, gathered
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-# Rows that a task codes at once, words that a worker knows, characters of units that are folded side by side, and
+# Rows that a task codes at once, words that it knows, characters of units that are folded side by side, and
 # characters of a unit that goes alone.
 ROWS, KNOWN, SIDE, LONG = 256, 400_000, 1 << 17, 64
 # Bits of a code point.
@@ -207,14 +207,6 @@ def _held(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at] == wanted, at
 
 
-def _known(pieces: Pieces) -> WordIds:
-    """The worker's words: they stay known from task to task."""
-    kept = sys.modules.setdefault("_rankloom_pieces", ModuleType("_rankloom_pieces"))
-    if getattr(kept, "pieces", None) != pieces:
-        kept.pieces, kept.words = pieces, WordIds(Lattice(pieces).words, KNOWN)
-    return kept.words
-
-
 def words_of(text: str, whole: bool) -> list[str]:
     """A text as words that follow a space each; ``whole`` if no piece reaches over the end of a word."""
     if not text:
@@ -251,28 +243,33 @@ def long_path(unit: str, scores: dict[str, tuple[float, int]], longest: int, unk
     return out[::-1]
 
 
-def _coded(pieces: Pieces, keep: int):
-    """Ids of texts; the first ``keep`` columns pass through."""
+def _coded(pieces: Pieces, keep: int, decoded: str | None = None):
+    """Ids of texts, and the texts that these decode to in a column ``decoded``; the first ``keep`` columns pass through."""
     whole = not any(p[1] == SPACE and p[0] != SPACE for p in pieces.inside)
+    added = ["ids"] if decoded is None else ["ids", decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(pieces)
+        known = WordIds(Lattice(pieces).words, KNOWN)
+        table = None if decoded is None else pa.array(pieces.bytes_by_id(), pa.large_binary())
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 flat, size = known.ids([words_of(t, whole) for t in part.column(keep).to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:keep], ids], names=[*batch.schema.names[:keep], "ids"])
+                out = [ids] if decoded is None else [ids, _decoded(ids, table)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *out], names=[*batch.schema.names[:keep], *added])
 
     return run
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of every document and its ids."""
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: Sequence[str] = ("doc_id",), decoded: str | None = None) -> DataFrame:
+    """The ``keep`` columns of every document and its ids; ``decoded`` names a column for the text that the ids decode to."""
     held = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields) + ", ids array<int>"
+    if decoded is not None:
+        schema += f", `{decoded}` string"
     rows = docs.select(*keep, F.col(f"`{text}`").alias("__text"))
-    return rows.mapInArrow(_coded(pieces, len(keep)), f"{schema}, ids array<int>")
+    return rows.mapInArrow(_coded(pieces, len(keep), decoded), schema)
 
 
 def _decoded(ids: pa.Array, table: pa.Array) -> pa.Array:

@@ -1,10 +1,12 @@
+import gc
 import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
-from rankloom.llm.pieces import LONG, Lattice, Pieces, decode, encode, long_path, words_of
+from rankloom.llm.pieces import LONG, Lattice, Pieces, _coded, decode, encode, long_path, words_of
 from rankloom.llm.words import WordIds
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -108,3 +110,22 @@ def test_words_stay_in_their_task(spark):
     found = decode(encode(spark.createDataFrame([(1, "some text", "i", "u")], SCHEMA).repartition(2), pieces), pieces)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and not re.search("Join|Aggregate|parquet|hashpartitioning|RepartitionByExpression", plan)
+
+
+def test_ids_and_their_texts_from_one_pass(spark):
+    """One worker a task gives what encoding and then decoding give."""
+    pieces = Pieces.load(PATH)
+    df = spark.createDataFrame([(i, t, "i", "u") for i, t in enumerate(TEXTS)], SCHEMA).repartition(3)
+    one, two = encode(df, pieces, keep=["doc_id", "unit"], decoded="text"), decode(encode(df, pieces, keep=["doc_id", "unit"]), pieces)
+    assert one.columns == ["doc_id", "unit", "ids", "text"] and one._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in two.select(*two.columns).collect())
+
+
+def test_an_idle_worker_knows_no_words():
+    """After a task nothing of its words is left in the worker."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", "and there"])], names=["doc_id", "__text"])
+    gc.collect()
+    before = sum(isinstance(x, WordIds) for x in gc.get_objects())
+    run = _coded(Pieces.load(PATH), 1)
+    assert [b.num_rows for b in run(iter([batch]))] == [2]
+    assert sum(isinstance(x, WordIds) for x in gc.get_objects()) == before

@@ -56,3 +56,9 @@ def test_stages_take_empty_and_odd_rows(spark):
 def test_operators_are_those_of_the_package():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mix", "pieces"]
     assert exact and minhash and mixing and toxicity
+
+
+def test_pieces_stage_takes_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", "s", 9)], SCHEMA)
+    plan = corpus_pipeline.encode_pieces(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
