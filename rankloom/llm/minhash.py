@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, one_of_each, send, stored
+from .common import components, lean, one_of_each, send, stored
 
 MISS = 1e-6
 # Standard deviations that the estimate may lie below the threshold before a candidate is given up.
@@ -138,7 +138,7 @@ def _signatures(width: int, bands: int, rows: int):
                 names=["doc_id", "mark", "digest", "n", "keys", "bits"],
             )
 
-    return run
+    return lean(run)
 
 
 def _sets(width: int):
@@ -150,7 +150,7 @@ def _sets(width: int):
                 found = [cut.shingles(cut.words(t.as_py())).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["cid", "names"])
 
-    return run
+    return lean(run)
 
 
 def likely(left: str, right: str, minima: int, percent: int) -> Column:

@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .words import WordIds, gathered
 
 SPACE = "▁"
@@ -259,7 +260,7 @@ def _coded(pieces: Pieces, keep: int, decoded: str | None = None):
                 out = [ids] if decoded is None else [ids, _decoded(ids, table)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], *out], names=[*batch.schema.names[:keep], *added])
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: Sequence[str] = ("doc_id",), decoded: str | None = None) -> DataFrame:
@@ -296,7 +297,7 @@ def _texts(pieces: list[bytes]):
                 texts = _decoded(part.column(part.num_columns - 1), table)
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
-    return run
+    return lean(run)
 
 
 def decode(tokens: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import send, stored
+from .common import lean, send, stored
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
@@ -76,6 +76,7 @@ class Words:
         return np.unique(self.rows[at])
 
 
+@lean
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, sums = Words(), np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
@@ -93,7 +94,7 @@ def _features(ratio: np.ndarray):
             found = [at[ratio[at] != 0] for at in found]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], names=["at", "toxic", "of"])
 
-    return run
+    return lean(run)
 
 
 @dataclass
@@ -219,7 +220,7 @@ def _scored(model: Severity):
             severity = (1 / (1 + np.exp(-np.clip(score.reshape(-1, 1) - cuts, -40, 40)))).sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(severity)], names=[*batch.schema.names[:-1], "__severity"])
 
-    return run
+    return lean(run)
 
 
 def with_severity(docs: DataFrame, model: Severity, text: str = "text", name: str = "severity", keep: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from rankloom.llm import exact, minhash, mixing, toxicity
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from rankloom.llm import common, exact, minhash, mixing, pieces, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,3 +66,27 @@ def test_pieces_stage_takes_one_worker_a_task(spark):
     docs = spark.createDataFrame([(1, "some text", "en", "s", 9)], SCHEMA)
     plan = corpus_pipeline.encode_pieces(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+RUNS = {
+    "counted": lambda: toxicity._counted,
+    "features": lambda: toxicity._features(np.ones(toxicity.BUCKETS)),
+    "scored": lambda: toxicity._scored(toxicity.Severity(np.ones(toxicity.BUCKETS), np.ones(toxicity.BUCKETS), np.ones(2))),
+    "signatures": lambda: minhash._signatures(5, *minhash.bands_for(80)),
+    "sets": lambda: minhash._sets(5),
+    "coded": lambda: pieces._coded(pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")), 1, "text"),
+}
+COLUMNS = {"counted": "tn", "features": "tnn", "scored": "nt", "signatures": "ntn", "sets": "nt", "coded": "nt"}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_workers_of_the_stages_give_memory_back(name, monkeypatch):
+    """Once, when a task has given all its rows."""
+    calls, made = [], {"t": pa.array(["some words", None]), "n": pa.array([0, 1])}
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})
+    batch = pa.RecordBatch.from_arrays([made[c] for c in COLUMNS[name]], names=[f"c{i}" for i in range(len(COLUMNS[name]))])
+    run = RUNS[name]()
+    monkeypatch.setattr(common.pa, "default_memory_pool", pool)
+    found = run(iter([batch]))
+    assert next(found).num_rows and not calls
+    assert list(found) == [] and calls == [1]
