@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import exp
+from math import ceil, exp
 
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -40,6 +40,19 @@ def bootstrap_count(keys: Sequence[str], tree: int, seed: int = SEED) -> Column:
     return sum((F.when(draw >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
 
 
+def bootstrap_counts(keys: Sequence[str], trees: int, seed: int = SEED) -> Column:
+    """`bootstrap_count` of each of the first ``trees`` trees, as an array: one hash for each tree and row.
+
+    A draw is at or above a step if its hexadecimal digits are at or above those of the step, as text.
+    """
+    shown = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    marks = [f"{m:013x}" for m in (ceil(s * (1 << 52)) for s in poisson_steps()) if m < 1 << 52]
+    steps = F.array(*[F.lit(m) for m in marks])
+    numbers = F.array(*[F.lit(str(i)) for i in range(trees)])
+    digests = F.transform(numbers, lambda i: F.md5(F.concat_ws("|", *shown, F.lit(str(seed)), i).cast("binary")))
+    return F.transform(digests, lambda d: F.size(F.filter(steps, lambda m: d >= m)).cast("byte"))
+
+
 @dataclass
 class Forest:
     """Trees of a forest and, as one model, their mean."""
@@ -59,18 +72,18 @@ class Forest:
 
         ``df`` must hold the rows of the fit under their keys. Scores stay on the row: no shuffle.
         """
-        df = df.withColumns({"trees_out": F.lit(0), "__sum": F.lit(0.0)})
+        df = df.withColumns({"__draws": bootstrap_counts(self.keys, len(self.trees), self.seed), "trees_out": F.lit(0), "__sum": F.lit(0.0)})
         for start in range(0, len(self.trees), SCORE_CHUNK):
             for i, tree in enumerate(self.trees[start : start + SCORE_CHUNK], start):
                 scored = tree.copy({tree.predictionCol: "__tree"}).transform(df)
-                left_out = bootstrap_count(self.keys, i, self.seed) == 0
+                left_out = F.get("__draws", F.lit(i)) == 0
                 df = scored.withColumns({
                     "trees_out": F.col("trees_out") + F.when(left_out, 1).otherwise(0),
                     "__sum": F.col("__sum") + F.when(left_out, F.col("__tree")).otherwise(0.0),
                 }).drop("__tree")
             df = settle(df)
         mean = F.when(F.col("trees_out") > 0, F.col("__sum") / F.greatest("trees_out", F.lit(1)))
-        return df.withColumn(out, mean).drop("__sum")
+        return df.withColumn(out, mean).drop("__sum", "__draws")
 
 
 @dataclass(frozen=True)
@@ -93,7 +106,8 @@ class BootstrapForest:
     parallelism: int = 8
 
     def fit_trees(self, train: DataFrame) -> Forest:
-        train = settle(train.select(*self.keys, self.features, self.label))
+        draws = bootstrap_counts(self.keys, self.trees, self.seed).alias("__draws")
+        train = settle(train.select(self.features, self.label, draws))
         one = RandomForestRegressor(
             featuresCol=self.features, labelCol=self.label, weightCol="__drawn", numTrees=1, bootstrap=False,
             maxDepth=self.depth, maxBins=self.bins, minInstancesPerNode=self.min_rows,
@@ -101,7 +115,7 @@ class BootstrapForest:
         )
 
         def fit(i: int) -> RandomForestRegressionModel:
-            drawn = bootstrap_count(self.keys, i, self.seed).cast("double")
+            drawn = F.get("__draws", F.lit(i)).cast("double")
             return one.copy({one.seed: self.seed + i}).fit(train.withColumn("__drawn", drawn).where("__drawn > 0"))
 
         return Forest(side_by_side(fit, range(self.trees), self.parallelism), self.keys, self.seed, self.features)

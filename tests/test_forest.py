@@ -7,7 +7,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from rankloom.operators import learners as M
-from rankloom.operators.forest import BootstrapForest, bootstrap_count, poisson_steps
+from rankloom.operators import forest as forests
+from rankloom.operators.forest import BootstrapForest, bootstrap_count, bootstrap_counts, poisson_steps
 
 KEYS = ("context_id", "reply_id")
 
@@ -41,6 +42,22 @@ def test_counts_are_poisson(spark):
     assert poisson_steps()[-1] == pytest.approx(1.0)
 
 
+def test_counts_of_all_trees_are_those_of_each(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(300)], "context_id long, reply_id long")
+    got = rows.select(bootstrap_counts(KEYS, 12).alias("all"), F.array(*[bootstrap_count(KEYS, t) for t in range(12)]).alias("each"))
+    assert all(r["all"] == r["each"] for r in got.collect())
+
+
+def test_rows_are_hashed_once_for_all_trees(data, monkeypatch):
+    """What a tree is fitted on holds the draws; no pass over it hashes a row again."""
+    plans, plain = [], forests.RandomForestRegressor.fit
+    monkeypatch.setattr(
+        forests.RandomForestRegressor, "fit", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(self, df)
+    )
+    BootstrapForest(3, depth=2).fit_trees(data)
+    assert len(plans) == 3 and not any("md5" in p for p in plans)
+
+
 def test_null_keys_count_as_empty(spark):
     rows = spark.createDataFrame([(None, 1), ("", 1)], "context_id string, reply_id long")
     assert len({r.n for r in rows.select(bootstrap_count(KEYS, 0).alias("n")).collect()}) == 1
