@@ -10,12 +10,14 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, swept
 from ..settings import FOREST_TREES, SEED
 from .learners import TrimmedBoost, ensemble, side_by_side
 
 # Trees whose scores are added to a table before its lineage is cut.
 SCORE_CHUNK = 25
+# Bytes of shuffled sums that the trees of one fit may leave on disk side by side, and those of a cell (row, feature) of a level.
+SUM_BYTES, CELL_BYTES = 1 << 30, 12
 
 
 def poisson_steps(most: int = 15) -> list[float]:
@@ -105,6 +107,12 @@ class BootstrapForest:
     label: str = "target"
     parallelism: int = 8
 
+    def side_by_side(self, rows: int, parts: int, width: int) -> int:
+        """Trees to be fitted at a time. A level of a tree shuffles sums per part, node, feature and bin, as many as there are
+        cells at most: few trees of a large table go side by side, which keeps the cores busy alone, and many of a small one."""
+        cells = sum(min(rows, parts * self.bins << level) for level in range(self.depth)) * width
+        return max(1, min(self.parallelism, SUM_BYTES // max(1, cells * CELL_BYTES)))
+
     def fit_trees(self, train: DataFrame) -> Forest:
         draws = bootstrap_counts(self.keys, self.trees, self.seed).alias("__draws")
         train = settle(train.select(self.features, self.label, draws))
@@ -118,7 +126,11 @@ class BootstrapForest:
             drawn = F.get("__draws", F.lit(i)).cast("double")
             return one.copy({one.seed: self.seed + i}).fit(train.withColumn("__drawn", drawn).where("__drawn > 0"))
 
-        return Forest(side_by_side(fit, range(self.trees), self.parallelism), self.keys, self.seed, self.features)
+        some = train.select(self.features).first()
+        together = self.side_by_side(train.count(), train.rdd.getNumPartitions(), len(some[0]) if some and some[0] is not None else 1)
+        with swept(train.sparkSession):
+            trees = side_by_side(fit, range(self.trees), together)
+        return Forest(trees, self.keys, self.seed, self.features)
 
     def fit(self, train: DataFrame) -> TrimmedBoost:
         return self.fit_trees(train).mean

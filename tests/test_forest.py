@@ -1,4 +1,5 @@
 import hashlib
+import time
 from math import exp, factorial
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import learners as M
 from rankloom.operators import forest as forests
 from rankloom.operators.forest import BootstrapForest, bootstrap_count, bootstrap_counts, poisson_steps
+from rankloom.session import swept
 
 KEYS = ("context_id", "reply_id")
 
@@ -88,3 +90,24 @@ def test_forest_beats_its_trees_out_of_bag(data):
     scored = forest.out_of_bag(data).where("trees_out > 0")
     error = scored.agg(F.avg(F.pow(F.col("pred") - F.col("target"), 2))).first()[0]
     assert error < data.agg(F.var_pop("target")).first()[0] / 2
+
+
+def test_trees_side_by_side_are_bounded_by_the_sums_they_shuffle(data, monkeypatch):
+    assert BootstrapForest().side_by_side(1_000, 4, 256) == 8
+    assert BootstrapForest().side_by_side(135_000, 34, 256) == 1
+    assert BootstrapForest(depth=5).side_by_side(6_000_000, 100, 1) == 8
+    seen, plain = [], forests.side_by_side
+    monkeypatch.setattr(forests, "side_by_side", lambda fit, tasks, n: seen.append(n) or plain(fit, tasks, n))
+    monkeypatch.setattr(forests, "SUM_BYTES", 2 * 400 * 3 * 2 * forests.CELL_BYTES)
+    assert len(BootstrapForest(3, depth=2).fit_trees(data).trees) == 3
+    assert seen == [2]
+
+
+def test_what_nothing_refers_to_goes_while_trees_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr("rankloom.session.SWEEP_SECONDS", 0.05)
+    bean = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    swept_so_far = lambda: sum(b.getCollectionCount() for b in bean)
+    before = swept_so_far()
+    with swept(spark):
+        time.sleep(1)
+    assert swept_so_far() > before
