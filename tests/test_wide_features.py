@@ -63,3 +63,14 @@ def test_wide_linear_fits_go_one_after_the_other(blocks, monkeypatch):
     assert M.fits_together(M.boosted("embedding"), rows, 8) == 8
     monkeypatch.undo()
     assert M.fits_together(M.linear(), rows, 8) == 8
+
+
+def test_columns_and_tables_share_one_vocabulary_on_the_jvm(spark, monkeypatch):
+    """A copy of the model would send its vocabulary to the executors again."""
+    models, plain = [], CountVectorizerModel.transform
+    monkeypatch.setattr(CountVectorizerModel, "transform", lambda self, df: models.append(self._java_obj) or plain(self, df))
+    vectorizer = G.Vectorizer(G.Analyzer("word", 1, 1), ["aa", "bb"], [1.0, 2.0])
+    rows = spark.createDataFrame([("aa bb", "bb")], "a string, b string")
+    out = vectorizer.transform(vectorizer.transform(rows, "a", "va"), "b", "vb").first()
+    assert len(models) == 2 and models[0].equals(models[1])
+    assert (out.va.indices.tolist(), out.vb.toArray().tolist()) == ([0, 1], [0.0, 1.0])
